@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Words of the contracts: runs of anything but space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
+BLANKS = r"\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,5 @@ def n_words(text: Column) -> Column:
 
 
 def chars_of(text: Column, chars: str) -> Column:
-    """How many characters of `text` are in `chars`."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many characters of `text` are in the character class `chars`."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")

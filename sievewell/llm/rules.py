@@ -16,10 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.llm.common import BLANKS, bind, chars_of, words
+from sievewell.llm.common import BLANKS, WORD, bind, chars_of, words
 
 SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "A-Z"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts")
 
 
@@ -39,7 +39,7 @@ RULES = (
     Rule(1, "REPEATED_WORDS", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "SYMBOLS", "10 * n_symbols > 2 * n_words"),
     Rule(3, "SHOUTING", "100 * n_upper > 50 * word_chars OR 10 * n_shouts > 3 * n_words"),
-    Rule(4, "REPEATED_LINES", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(4, "REPEATED_LINES", "100 * n_dup_lines > 60 * n_lines"),
     Rule(5, "WORD_LENGTH", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
 )
 BASE = RULES[0].mask | RULES[1].mask
@@ -51,6 +51,7 @@ CURRENT = "web-2"
 def repeated_words(w: Column) -> Column:
     """Of the array of words `w`: how many lie in a 3-word window that the text has twice or more.
 
+    Windows are compared by a 64-bit hash of their words, within one text only.
     Only texts with an equal pair of windows pay for sorting: equal windows become
     neighbours, the starts of those that have an equal neighbour are sorted again, and
     each start covers three words less what the next one covers.
@@ -69,7 +70,7 @@ def repeated_words(w: Column) -> Column:
         found = bind(bind(placed, starts), covered)
         return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(found)
 
-    wins = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), x))
+    wins = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
     return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(bind(wins, of))
 
 
@@ -78,10 +79,10 @@ def measured(text: Column) -> Column:
     long = lambda c: c.cast("long")
 
     def of(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
         by_words = bind(words(t), lambda w: F.struct(long(F.size(w)).alias("n"), F.coalesce(repeated_words(w), F.lit(0)).alias("again")))
         by_lines = bind(lines, lambda x: F.struct(long(F.size(x)).alias("n"), long(F.size(x) - F.size(F.array_distinct(x))).alias("again")))
-        counts = (long(F.length(F.translate(t, BLANKS, ""))).alias("word_chars"), chars_of(t, SYMBOLS).alias("n_symbols"), chars_of(t, UPPER).alias("n_upper"), chars_of(t, "!").alias("n_shouts"))
+        counts = ((long(F.length(t)) - chars_of(t, BLANKS)).alias("word_chars"), chars_of(t, SYMBOLS).alias("n_symbols"), chars_of(t, UPPER).alias("n_upper"), chars_of(t, "!").alias("n_shouts"))
         return F.struct(by_words.alias("words"), by_lines.alias("lines"), *counts)
 
     def flat(m: Column) -> Column:
