@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from sievewell.llm import rules
+from sievewell.llm import langid, mixing, quality, rules
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_quality_classifier": quality.query,
     "op8_quality_rules": rules.query,
+    "op10_language_id": langid.query,
 }
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
     "op8_quality_rules": rules.ORACLE,
 }
