@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sievewell.llm import langid, mixing, quality, rules
+from sievewell.llm import jaccard, langid, mixing, quality, rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_classifier": quality.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op8_quality_rules": rules.query,
     "op10_language_id": langid.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op6_ngram_jaccard_join": jaccard.ORACLE,
     "op8_quality_rules": rules.ORACLE,
 }
