@@ -231,7 +231,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def accepted(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, min_score: float = 0.35) -> DataFrame:
     """The rows of `docs` whose language is known with at least `min_score`, with all their columns."""
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     judged = docs.select(row.alias("_row"), predicted(model, docs["text"]).alias("_p"))
