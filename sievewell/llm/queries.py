@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sievewell.llm import decontam, jaccard, langid, mixing, quality, rules
+from sievewell.llm import decontam, htmltext, jaccard, langid, mixing, quality, rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_classifier": quality.query,
+    "op4_html_extraction": htmltext.query,
     "op5_benchmark_decontamination": decontam.query,
     "op6_ngram_jaccard_join": jaccard.query,
     "op8_quality_rules": rules.query,
