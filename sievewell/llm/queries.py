@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from sievewell.llm import decontam, htmltext, jaccard, langid, mixing, quality, rules
+from sievewell.llm import chat, decontam, htmltext, jaccard, langid, licenses, mixing, quality, rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_classifier": quality.query,
+    "op3_chat_formatting": chat.query,
     "op4_html_extraction": htmltext.query,
     "op5_benchmark_decontamination": decontam.query,
     "op6_ngram_jaccard_join": jaccard.query,
+    "op7_license_scans": licenses.query,
     "op8_quality_rules": rules.query,
     "op10_language_id": langid.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op6_ngram_jaccard_join": jaccard.ORACLE,
+    "op3_chat_formatting": chat.ORACLE,
+    "op7_license_scans": licenses.ORACLE,
     "op8_quality_rules": rules.ORACLE,
 }
