@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievewell.llm import chat, decontam, htmltext, jaccard, langid, licenses, mixing, quality, rules
+from sievewell.llm import chat, decontam, htmltext, jaccard, langid, licenses, lmscore, mixing, quality, rules
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": jaccard.query,
     "op7_license_scans": licenses.query,
     "op8_quality_rules": rules.query,
+    "op9_lm_scoring": lmscore.query,
     "op10_language_id": langid.query,
 }
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op3_chat_formatting": chat.ORACLE,
     "op7_license_scans": licenses.ORACLE,
     "op8_quality_rules": rules.ORACLE,
+    "op9_lm_scoring": lmscore.ORACLE,
 }
