@@ -35,6 +35,7 @@ from sievewell.llm.components import components
 from sievewell.llm.textarrays import by_bytes, mixed, shingle_sets
 
 BUCKETS = 1 << 17  # of the count sketch
+BITS = 1 << 25  # of the filter of classes to verify, at most
 LIST_COST = 8  # of a posting in an inverted list, in subset keys
 MOST_SMALL = 40
 
@@ -159,20 +160,42 @@ def _postings(docs: DataFrame, k: int, t: Threshold, order: np.ndarray, small: i
     return docs.select("text").mapInArrow(work, "token long, node long, n int, pos int, indexed boolean")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked, by their whole sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = rows.filter("n > 0 AND id IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("doc_id"))
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A filter of fixed size for classes: one bit each, of BITS bits at most. The rows that reach the driver are its words."""
+    bits = min(BITS, 1 << max(16, (16 * nodes.count()).bit_length()))
+    at = F.pmod("node", F.lit(bits))
+    words = nodes.select(F.floor(at / 32).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(node, {bits}), 32) as int))").alias("b"))
+    out = np.zeros(bits // 32, np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[r["w"]] = r["b"]
+    return out.astype(np.uint32)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are linked, by their whole sets.
+
+    The sets are built again from the texts, where a filter of the classes in question is
+    at hand: only those are shuffled, never all texts.
+    """
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+    bitmap = _bitmap(wanted)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for _, texts in _text_slices(batch):
-                found = list(shingle_sets(texts, k))
-                nodes = pa.array(np.array([_node(s) if len(s) else 0 for s in found], np.int64))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in found], pa.binary())], ["node", "elements"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(build, "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+                nodes, elements = [], []
+                for s in shingle_sets(texts, k):
+                    if len(s) and (node := _node(s)) not in seen:
+                        at = int(node) % (32 * len(bitmap))
+                        if bitmap[at // 32] >> (at % 32) & 1:
+                            seen.add(node)
+                            nodes.append(node)
+                            elements.append(s.tobytes())
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)), pa.array(elements, pa.binary())], ["node", "elements"])
+
+    sets = docs.select("text").mapInArrow(build, "node long, elements binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = written(sets, "jaccard-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
@@ -211,7 +234,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     lists = written(post.join(heads, "token"), "jaccard-lists")  # of two classes or more
     spoke = lists.alias("s").filter((F.col("s.node") != F.col("s.head.node")) & _fits(t, "s", "s.head"))
     stars = written(spoke.select(F.least("s.node", "s.head.node").alias("a"), F.greatest("s.node", "s.head.node").alias("b")).distinct(), "jaccard-stars")
-    links = written(_verified(stars, docs, rows, k, t), "jaccard-links")
+    links = written(_verified(stars, docs, k, t), "jaccard-links")
 
     found = components(links)
     known = lists.drop("head").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -223,7 +246,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not pairs.isEmpty():
-        links = links.union(_verified(pairs, docs, rows, k, t))
+        links = links.union(_verified(pairs, docs, k, t))
         found = components(links)
 
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
