@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievewell.plans import screen
+from sievewell.plans import measures, screen
 
-QUERIES = screen.QUERIES
-ORACLES = screen.ORACLES
+QUERIES = screen.QUERIES | measures.QUERIES
+ORACLES = screen.ORACLES | measures.ORACLES
