@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievewell.plans import measures, screen
+from sievewell.plans import governance, measures, screen
 
-QUERIES = screen.QUERIES | measures.QUERIES
-ORACLES = screen.ORACLES | measures.ORACLES
+QUERIES = screen.QUERIES | measures.QUERIES | governance.QUERIES
+ORACLES = screen.ORACLES | measures.ORACLES | governance.ORACLES
