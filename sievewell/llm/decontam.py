@@ -8,9 +8,10 @@ passages of a text at once; passages that some block may still match are searche
 block-max WAND; what scores above the threshold is verified by the share of the
 item's question and of its answer (its last sentence) that the passage repeats in runs of RUN words.
 
-The index is small data of a stated size: test items are dealt to shards of at most about
-SHARD_BYTES of text, each shard's index goes to the tasks with the function, and every
-document meets every shard. Word statistics are those of all items.
+The index is small data of a stated size: test items are dealt to shards of about SHARD_BYTES
+of text, so that blocks stay small and their bounds tight; the indexes of up to PASS_SHARDS shards
+go to the tasks with the function, and every document meets every shard, in as many passes as
+that takes. Word statistics are those of all items.
 
 Cases: null and empty texts and items match nothing; an item of fewer than RUN words is
 one run; an item of one sentence has its last third as answer; equal items are reported
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 
 from sievewell.llm.common import table
 
-HALF, RUN, BLOCK, MOST_BLOCKS = 64, 5, 16, 64
+HALF, RUN, BLOCK, MOST_BLOCKS = 64, 5, 4, 256
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
-SHARD_BYTES = 16 << 20
+SHARD_BYTES, PASS_SHARDS = 256 << 10, 128
 FOUND = "array<struct<item_id bigint, score double, question_overlap double, answer_overlap double>>"
 _WORDS = re.compile(r"\w+")
 
@@ -134,25 +135,27 @@ def search(index: Index, words: list[int], threshold: float) -> list[tuple[int,
                 x[3] += 1
 
 
-def leaks(index: Index, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
-    """Of each item that the text repeats: score, question and answer overlap of its best passage."""
-    words = tokens(text)
+def leaks(index: Index, words: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
+    """Of each item that a text, given as words, repeats: score, question and answer overlap of its best passage."""
     if not words or not index.ids:
         return {}
     known = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
     at = np.flatnonzero(known >= 0)
     if not len(at):
         return {}
-    size = len(index.postings)
+    size, least = len(index.postings), threshold - 1e-3
     halves, terms = np.divmod(np.unique(at // index.half * size + known[at]), size)
     first = np.flatnonzero(np.diff(halves, prepend=-1))
     sums = np.zeros((len(words) // index.half + 2, index.bounds.shape[1]), np.float32)
     sums[halves[first]] = np.add.reduceat(index.bounds[terms], first, axis=0)
     out: dict[int, tuple[float, float, float]] = {}
-    for i in np.flatnonzero((sums[:-1] + sums[1:]).max(axis=1) >= threshold - 1e-3):
+    for i in np.flatnonzero((sums[:-1] + sums[1:]).max(axis=1) >= least):
         begin, end = i * index.half, (i + 2) * index.half
-        mine = {w for w in known[begin:end].tolist() if w >= 0}
-        hits = search(index, sorted(mine), threshold)
+        mine = np.unique(known[begin:end])
+        mine = mine[mine >= 0]
+        if index.bounds[mine].sum(axis=0).max() < least:  # words of both halves counted once
+            continue
+        hits = search(index, mine.tolist(), threshold)
         have = runs_of(words[begin:end]) if hits else set()
         for item, score in hits:
             shares = [sum(have_run(have, words[begin:end], r) for r in s) / len(s) if s else 1.0 for s in (index.question[item], index.answer[item])]
@@ -195,35 +198,41 @@ def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
     return out
 
 
-def found(index: Index, text: Column, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
-    """The items of the index that each whole text repeats, as FOUND."""
+def found(shards: list[Index], text: Column, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
+    """The items of the indexes that each whole text repeats, as FOUND."""
 
     @F.arrow_udf(FOUND)
     def judge(texts: pa.Array) -> pa.Array:
         rows = []
-        for t in texts.to_pylist():
-            got = leaks(index, t, threshold, overlap)
-            rows.append([{"item_id": index.ids[i], "score": s, "question_overlap": q, "answer_overlap": a} for i, (s, q, a) in sorted(got.items())])
+        for t in texts:
+            words = tokens(t.as_py())
+            got = [(index.ids[i], *x) for index in shards for i, x in sorted(leaks(index, words, threshold, overlap).items())]
+            rows.append([{"item_id": i, "score": s, "question_overlap": q, "answer_overlap": a} for i, s, q, a in got])
         kind = pa.struct([("item_id", pa.int64()), *[(c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap")]])
         return pa.array(rows, pa.list_(kind))
 
     return judge(text)
 
 
+def _passes(items: DataFrame) -> list[list[Index]]:
+    shards = indexes(items)
+    return [shards[i : i + PASS_SHARDS] for i in range(0, len(shards), PASS_SHARDS)]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap: a row for each test item that a document repeats."""
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-    for index in indexes(items):
-        hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(found(index, F.col("text"), threshold, overlap)).alias("f"))
+    for shards in _passes(items):
+        hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(found(shards, F.col("text"), threshold, overlap)).alias("f"))
         out = out.unionByName(hits.select("doc_id", "f.*"))
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of `docs` that repeat no test item, with all their columns."""
-    for index in indexes(items):
+    for shards in _passes(items):
         row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-        docs = docs.select(row.alias("_row"), found(index, docs["text"], threshold, overlap).alias("_f")).filter(F.size("_f") == 0).select("_row.*")
+        docs = docs.select(row.alias("_row"), found(shards, docs["text"], threshold, overlap).alias("_f")).filter(F.size("_f") == 0).select("_row.*")
     return docs
 
 
