@@ -35,13 +35,13 @@ class Page:
         return " ".join(self.word() for _ in range(self.r.randint(a, b)))
 
     def sentence(self) -> str:
-        w = [self.word() for _ in range(self.r.randint(4, 18))]
+        w = [self.word() for _ in range(self.r.randint(1, 4) if self.r.random() < 0.15 else self.r.randint(4, 18))]
         if len(w) > 8:
             w[4] += ","
-        if self.r.random() < 0.06:
-            w[2] = f'<a href="/{w[2]}">{w[2]}</a>'
-        if self.r.random() < 0.06:
-            w[1] = f"<b>{w[1]}</b>"
+        for tag in ('a href="/x"', "b", "em"):
+            if self.r.random() < 0.05:
+                at = self.r.randrange(len(w))
+                w[at] = f"<{tag}>{w[at]}</{tag.split(' ')[0]}>"
         return " ".join(w).capitalize() + self.r.choice(["."] * 8 + ["?", "!"])
 
     def prose(self) -> str:
@@ -64,6 +64,8 @@ class Page:
         if r.random() < 0.8:
             title = f"<h1>{self.words(2, 10).capitalize()}</h1>"
             out.append(f"<header>{title}<p>{self.sentence()}</p></header>" if r.random() < 0.15 else title)
+        if r.random() < 0.08:  # hardly any text, or a title that is said again
+            return f"<h1>{(title := self.sentence())}</h1><p>{r.choice([title, self.sentence()])}</p>"
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             x = r.random()
             if x < 0.72:
