@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sievewell.llm import boost
 from sievewell.llm.common import table
-from sievewell.llm.samplepages import MAIN, OTHER, Page
+from sievewell.llm.samplepages import MAIN, NAMES, OTHER, Page
 
 BLOCKS = (
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
@@ -39,6 +39,8 @@ _IS_BLOCK = frozenset(BLOCKS)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: The kinds of page part that an attribute token is a common name of.
+_KINDS = {t: [j for j, names in enumerate(NAMES.values()) if any(t in x.split("-") for x in names)] for names in NAMES.values() for x in names for t in x.split("-")}
 OUT, IN, MIXED = 0, 1, 2
 _BELOW = {OUT: (OUT,), IN: (OUT, IN), MIXED: (OUT, IN, MIXED)}
 
@@ -165,7 +167,8 @@ def features(tree: Tree, vocabulary: dict[str, int]) -> np.ndarray:
     numbers = [depth, np.log1p(own), np.log1p(sub), sublink / np.maximum(sub, 1), np.log1p(nodes), np.log1p(sub / nodes), 100 * submarks / np.maximum(sub, 1), siblings, place / siblings,
                np.array([counts.get((parent[i], tree.tag[i]), 1) for i in range(n)]) / siblings, np.log1p(np.maximum(others, 0)), sub / total, first / max(seen, 1.0), sublink[p] / np.maximum(sub[p], 1),
                np.log1p(sub[p]), sub / np.maximum(sub[p], 1), children, own / np.maximum(sub, 1)]
-    out = np.zeros((n, len(numbers) + 4 + 2 * len(BLOCKS) + 2 * len(vocabulary)), np.float32)
+    width = len(NAMES) + len(vocabulary)
+    out = np.zeros((n, len(numbers) + 4 + 2 * len(BLOCKS) + 2 * width), np.float32)
     for j, x in enumerate(numbers):
         out[:, j] = x
     at = len(numbers)
@@ -177,10 +180,12 @@ def features(tree: Tree, vocabulary: dict[str, int]) -> np.ndarray:
     at += 2 * len(BLOCKS)
     for i, names in enumerate(tree.names):
         for t in names:
-            if (j := vocabulary.get(t)) is not None:
+            for j in _KINDS.get(t, ()):
                 out[i, at + j] = 1
+            if (j := vocabulary.get(t)) is not None:
+                out[i, at + len(NAMES) + j] = 1
     for i in range(1, n):  # names of the node or of any ancestor
-        out[i, at + len(vocabulary) :] = np.maximum(out[parent[i], at + len(vocabulary) :], out[i, at : at + len(vocabulary)])
+        out[i, at + width :] = np.maximum(out[parent[i], at + width :], out[i, at : at + width])
     return out
 
 
@@ -229,7 +234,7 @@ def labelled(seed: int) -> tuple[str, Tree, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def learned(pages: int = 260, words: int = 120) -> tuple[boost.Trees, dict[str, int]]:
+def learned(pages: int = 360, words: int = 60) -> tuple[boost.Trees, dict[str, int]]:
     """Boosted trees and attribute vocabulary, from invented pages. Made once a process; the same every time."""
     rows = [labelled(seed)[1:] for seed in range(pages)]
     counts: dict[str, int] = {}

@@ -68,21 +68,21 @@ class Page:
             return f"<h1>{(title := self.sentence())}</h1><p>{r.choice([title, self.sentence()])}</p>"
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             x = r.random()
-            if x < 0.72:
+            if x < 0.66:
                 out.append(f"<p>{self.prose()}</p>")
-            elif x < 0.78:
+            elif x < 0.72:
                 out.append(f"<h2>{self.words(1, 6).capitalize()}</h2><p>{self.prose()}</p>")
-            elif x < 0.83:
+            elif x < 0.76:
                 out.append("<ul>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif x < 0.87:
+            elif x < 0.80:
                 out.append(f"<blockquote><p>{self.prose()}</p></blockquote>")
-            elif x < 0.9:
+            elif x < 0.83:
                 out.append(f"<figure><img src=x><figcaption>{self.sentence()}</figcaption></figure>")
-            elif x < 0.92:
+            elif x < 0.85:
                 out.append("<table>" + "".join(f"<tr><td>{self.word()}</td><td>{r.randint(1, 999)}</td></tr>" for _ in range(3)) + "</table>")
-            elif x < 0.94:
+            elif x < 0.87:
                 out.append(f"<pre>{self.words(3, 20)}</pre>")
-            elif x < 0.97:
+            elif x < 0.90:
                 out.append(f"<div>{self.prose()}</div>")
             else:
                 out.append(OTHER + self.inset() + OTHER)
