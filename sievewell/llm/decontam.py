@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.llm.common import table
+from sievewell.llm.common import small_batches, table
 
 HALF, RUN, BLOCK, MOST_BLOCKS = 64, 5, 4, 256
 K1, B = 1.2, 0.75
@@ -200,6 +200,7 @@ def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
 
 def found(shards: list[Index], text: Column, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
     """The items of the indexes that each whole text repeats, as FOUND."""
+    small_batches()
 
     @F.arrow_udf(FOUND)
     def judge(texts: pa.Array) -> pa.Array:

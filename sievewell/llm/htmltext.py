@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewell.llm import boost
-from sievewell.llm.common import table
+from sievewell.llm.common import small_batches, table
 from sievewell.llm.samplepages import MAIN, NAMES, OTHER, Page
 
 BLOCKS = (
@@ -256,6 +256,7 @@ def main_text(html: str | None, trees: boost.Trees, vocabulary: dict[str, int])
 
 def extracted(html: Column) -> Column:
     """The main text of each whole page."""
+    small_batches()
     trees, vocabulary = learned()
 
     @F.arrow_udf("string")

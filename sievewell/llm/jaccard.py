@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.llm.common import table, written
+from sievewell.llm.common import small_batches, table, written
 from sievewell.llm.components import components
 from sievewell.llm.textarrays import by_bytes, mixed, shingle_sets
 
@@ -221,6 +221,7 @@ def _fits(t: Threshold, a: str, b: str):
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of `docs`."""
+    small_batches()
     t = Threshold(num, den)
     both = written(_sets(docs, k), "jaccard-rows")
     rows = both.filter("kind = 0").drop("kind")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievewell.llm.common import table
+from sievewell.llm.common import small_batches, table
 from sievewell.llm.textarrays import by_bytes, lowered
 
 WINDOW = 64
@@ -175,6 +175,7 @@ def has_letter(text: Column) -> Column:
 def fit(docs: DataFrame, may_learn: Column, per_lang: int = 300, windows: int = 8, salts: int = 64) -> Model:
     """Learns from the rows of `docs` where `may_learn` holds: of each language the `per_lang` documents whose ids hash lowest,
     and of each of these `windows` windows spread over its whole text."""
+    small_batches()
     spark = docs.sparkSession
     key = F.xxhash64("doc_id")
     # windows by language and salt first, so that no task gets all rows of a language
@@ -210,6 +211,7 @@ def fit(docs: DataFrame, may_learn: Column, per_lang: int = 300, windows: int =
 
 def predicted(model: Model, text: Column) -> Column:
     """A struct of lang_pred and score for each text."""
+    small_batches()
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

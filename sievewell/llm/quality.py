@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.llm.common import table
+from sievewell.llm.common import small_batches, table
 from sievewell.llm.textarrays import by_bytes, word_hashes
 
 BITS = 17
@@ -138,6 +138,7 @@ def train(found: list[np.ndarray], good: np.ndarray, smooth: float = 1.0, cost:
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 1500) -> Model:
     """Learns `labels.quality` from the rows where `may_learn` holds: of each class the `per_class` documents whose ids hash lowest."""
+    small_batches()
     spark = docs.sparkSession
     able = labels.filter(may_learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [able.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
@@ -158,6 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int =
 
 
 def score(model: Model, text: Column) -> Column:
+    """The probability of label 1 for each whole text."""
+    small_batches()
+
     @F.pandas_udf("double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:

@@ -78,7 +78,7 @@ def shingle_sets(texts: Sequence[str | None], k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def by_bytes(texts: Sequence[str | None], limit: int = 4 << 20) -> Iterator[slice]:
+def by_bytes(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[slice]:
     """Slices of `texts` of about `limit` characters each, so that arrays stay small; a longer text is a slice of its own."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
