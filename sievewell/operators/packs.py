@@ -127,3 +127,21 @@ def manifest_tokens(sections: DataFrame) -> DataFrame:
 
     whole = sections.groupBy("manifest").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), "\n").alias("text"))
     return whole.select("manifest", estimate_tokens(F.col("text")).alias("tokens")).withColumn("fits", F.col("tokens") <= TOKEN_BUDGET)
+
+
+def checksums_agree(passports: DataFrame) -> DataFrame:
+    """skill_id and whether a compatible entry has the artefact's digest, or states none. `entries` are (model_id, sha256)."""
+    ok = F.exists("entries", lambda e: (e["model_id"] == F.col("model_id")) & (e["sha256"].isNull() | (F.lower(e["sha256"]) == F.lower(F.col("sha256")))))
+    return passports.select("skill_id", F.coalesce(ok, F.lit(False)).alias("agree"))
+
+
+def sections(manifests: DataFrame) -> DataFrame:
+    """Manifest texts cut at their [NAME] lines: a row for each section, its text trimmed."""
+    parts = F.filter(F.split("text", r"(?m)^\["), lambda x: F.length(F.trim(x)) > 0)
+    cut = manifests.select("manifest", F.explode(parts).alias("part"))
+    return cut.select("manifest", F.regexp_extract("part", r"^([A-Z_]+)\]", 1).alias("section"), F.trim(F.regexp_replace(F.regexp_replace("part", r"^[A-Z_]+\]", ""), r"\s+", " ")).alias("text"))
+
+
+def privacy_intact(baseline: DataFrame, overlays: DataFrame, key: str = "rule_id", text: str = "rule") -> DataFrame:
+    """Privacy rules of the baseline that an overlay states differently; a release needs this to be empty."""
+    return overlays.alias("o").join(baseline.alias("b"), key).filter(~F.col(f"o.{text}").eqNullSafe(F.col(f"b.{text}"))).select(key, F.col(f"o.{text}").alias("overlay"), F.col(f"b.{text}").alias("baseline"))

@@ -33,6 +33,9 @@ PASSPORTS = (
 REVOKED = (("s5", "1.0", "2026-05-01", "leak"), ("s9", "1.0", "2026-05-01", "test"))
 RUNTIME = (("m1", "1.2.10"), ("m3", "1.0"))
 SECTIONS = tuple((m, i, f"[{m}] " + "rule text " * n) for m, n in (("short", 4), ("long", 160)) for i in range(6))
+ARTEFACTS = (("a1", "m1", "AB12", (("m1", "ab12"), ("m2", "ff"))), ("a2", "m1", "ab12", (("m1", "cd"), ("m2", "ab12"))), ("a3", "m2", "00", (("m2", None),)), ("a4", "m1", "00", ()))
+MANIFESTS = (("one", "[INSTRUCTION]\nBe  brief.\n[RULES]\ncat 1: [floor] 5\ncat 2\n[OUTPUT]\n"), ("two", "[RULES]\nnone"))
+PRIVACY = (("p1", "no text leaves"), ("p2", "no ids"), ("p3", "no hashes"))
 RULE = "layer string, block string, category int, floor int, action string"
 VERSION = "seq int, skill_id string, version string, signed_on string, expires_on string"
 PASSPORT = "skill_id string, version string, model_id string, min_version string, signature_valid boolean, expires_on string"
@@ -66,6 +69,9 @@ QUERIES = {
     "pack_violations": _q(lambda s: packs.violations(_rows(s, PACKS, PACK))),
     "pack_kinds": _q(lambda s: _rows(s, PACKS, PACK).select("skill_id", packs.pack_kind(F.col("skill_id")).alias("kind"))),
     "manifest_tokens": _q(lambda s: packs.manifest_tokens(_rows(s, SECTIONS, "manifest string, place int, text string"))),
+    "manifest_sections": _q(lambda s: packs.sections(_rows(s, MANIFESTS, "manifest string, text string"))),
+    "pack_checksums": _q(lambda s: packs.checksums_agree(s.createDataFrame([(a, m, x, [tuple(e) for e in es]) for a, m, x, es in ARTEFACTS], "skill_id string, model_id string, sha256 string, entries array<struct<model_id:string,sha256:string>>"))),
+    "privacy_intact": _q(lambda s: packs.privacy_intact(_rows(s, PRIVACY, "rule_id string, rule string"), _rows(s, (("p2", "no ids"), ("p3", "some hashes"), ("p9", "own")), "rule_id string, rule string"))),
     "pack_history": _q(_kept),
     "pack_rollback": _q(lambda s: packs.rollback(_kept(s))),
     "pack_active": _q(lambda s: _kept(s).filter("is_active").select("skill_id", "version")),
@@ -132,6 +138,9 @@ ORACLES = {
     "pack_violations": f"{_PACKS} SELECT skill_id, unnest({_BROKEN}) AS rule FROM kinds",
     "pack_kinds": f"{_PACKS} SELECT skill_id, kind FROM kinds",
     "manifest_tokens": f"WITH {_table('sections', 'manifest string, place int, text string', SECTIONS)} SELECT manifest, tokens, tokens <= 1800 AS fits FROM (SELECT manifest, ceil(length(string_agg(text, chr(10) ORDER BY place)) / 4)::BIGINT AS tokens FROM sections GROUP BY manifest)",
+    "manifest_sections": "SELECT * FROM (VALUES ('one', 'INSTRUCTION', 'Be brief.'), ('one', 'RULES', 'cat 1: [floor] 5 cat 2'), ('one', 'OUTPUT', ''), ('two', 'RULES', 'none')) AS v(manifest, section, text)",
+    "pack_checksums": "SELECT * FROM (VALUES ('a1', true), ('a2', false), ('a3', true), ('a4', false)) AS v(skill_id, agree)",
+    "privacy_intact": f"WITH {_table('p', 'rule_id string, rule string', PRIVACY)} SELECT rule_id, 'some hashes' AS overlay, rule AS baseline FROM p WHERE rule_id = 'p3'",
     "pack_history": f"{_HISTORY} SELECT skill_id, version, signed_on, expires_on, place, is_active FROM history",
     "pack_rollback": f"{_HISTORY} SELECT skill_id, version FROM history WHERE place = 2",
     "pack_active": f"{_HISTORY} SELECT skill_id, version FROM history WHERE is_active",

@@ -129,7 +129,14 @@ def _scores(spark, d):
 
 _c = lambda f: lambda spark, d: f(cases(spark, d))
 _r = lambda *cols: [F.round(c, 6).alias(c) for c in cols]
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter facts through JSON and back, keys in order."""
+    f = facts(spark, sf_dir).select("event_id", F.struct("counter_id", "delta", "group_id").alias("s"))
+    return f.select("event_id", F.to_json("s").alias("json"), F.from_json(F.to_json("s"), "counter_id string, delta long, group_id long").alias("b")).select("event_id", "json", "b.group_id", "b.counter_id", "b.delta")
+
+
 QUERIES = {
+    "json_round_trip": _json,
     "metric_recall": _c(lambda c: metrics.recall(c).select("category", *_r("recall"), "n")),
     "metric_precision": _c(lambda c: metrics.precision(c).select("category", *_r("precision"), "n")),
     "metric_fp_rate": _c(lambda c: c.select(F.explode("tags").alias("tag"), "predicted").groupBy(F.lower("tag").alias("tag")).agg(F.round(F.avg((F.col("predicted") != 0).cast("double")), 6).alias("rate"), F.count(F.lit(1)).alias("n"))),
@@ -204,6 +211,7 @@ m AS (SELECT label, i, avg(x) AS x FROM x WHERE label IS NOT NULL GROUP BY ALL),
 s AS (SELECT vec_id, p.label AS label_id, list_cosine_similarity(embedding::DOUBLE[], v) AS cosine FROM embeddings CROSS JOIN p),
 e AS (SELECT *, exp((cosine - max(cosine) OVER (PARTITION BY vec_id)) / 0.01::DOUBLE) AS e FROM s), q AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e)"""
 ORACLES = {
+    "json_round_trip": f"""WITH {FACTS} SELECT event_id, '{{"counter_id":"' || counter_id || '","delta":' || delta || ',"group_id":' || group_id || '}}' AS json, group_id, counter_id, delta FROM facts""",
     "metric_recall": f"WITH {CASES} SELECT expected AS category, {_MEAN.format('correct')} AS recall, count(*) AS n FROM cases GROUP BY expected",
     "metric_precision": f"WITH {CASES} SELECT predicted AS category, {_MEAN.format('correct')} AS precision, count(*) AS n FROM cases GROUP BY predicted",
     "metric_fp_rate": f"WITH {CASES} SELECT lower(tag) AS tag, {_MEAN.format(f'({_FP})')} AS rate, count(*) AS n FROM (SELECT unnest(tags) AS tag, predicted FROM cases) GROUP BY 1",
