@@ -24,7 +24,11 @@ WHITE = r"\p{Z}\t\n\x0b\x0c\r"
 
 
 def homoglyph_fold(text: Column, table: tuple[str, str] = HOMOGLYPHS) -> Column:
-    return F.translate(text, *table) if table[0] else text
+    """Letters of the table as what they are read as. Texts without a letter beyond Latin skip the slow translation."""
+    if not table[0]:
+        return text
+    folded = F.translate(text, *table)
+    return F.when(text.rlike(r"[^\x00-\x{24F}]"), folded).otherwise(text) if min(map(ord, table[0])) > 0x24F else folded
 
 
 @F.pandas_udf(StringType())
