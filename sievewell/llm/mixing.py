@@ -32,6 +32,7 @@ from sievewell.llm.common import n_words, table, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET, REPEATS, QUANTUM, CELLS, SEED = 1.5, 2, 256, 16384, "mix-1"
+MOST_BROADCAST = 10_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
@@ -91,6 +92,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BU
     part = cut.select("skey", F.least("words", F.greatest(F.col("last.rest") - F.col("upto") + F.col("words"), F.lit(0))).alias("words"))
     served = whole.unionByName(part).groupBy("skey").agg(F.sum("words").alias("served"))
 
+    if by_source.count() <= MOST_BROADCAST:  # a row for each source; without it, the join's own skew handling splits a hot source
+        served = F.broadcast(served)
     taken = F.lit(0).cast("long")
     for e in range(repeats):
         left = F.coalesce(F.col("served"), F.lit(0)) - e * F.col("source_size") - F.col("begin")
