@@ -23,6 +23,7 @@ from sievewell.llm.common import bind, table
 #: Spellings held equal, as in published licence-matching guidelines; fixed values.
 SAME = {"licence": "license", "licenced": "licensed", "licences": "licenses", "sublicence": "sublicense", "organisation": "organization", "favour": "favor", "honour": "honor", "whilst": "while", "per cent": "percent"}
 VERSION = r" v (?=\d)"  # "v. 2.0" is "version 2.0"
+MOST_BROADCAST = 100_000
 COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 #: (license_id, scope, text): one-line notices, and short licences whole.
 NOTICES = (
@@ -67,6 +68,8 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("part"), F.lit("line").alias("scope"))
     whole = docs.select("doc_id", F.col("text").alias("part"), F.lit("text").alias("scope"))
     parts = lines.unionByName(whole).select("doc_id", "scope", digest(canonical(F.col("part"))).alias("digest"))
+    if licenses.count() <= MOST_BROADCAST:  # beyond it the digests are shuffled, and the join splits those of common lines
+        licenses = F.broadcast(licenses)
     hits = parts.join(licenses, ["scope", "digest"])
     return hits.groupBy("doc_id", "license_id", "scope").agg(F.count(F.lit(1)).alias("n_lines"))
 
