@@ -11,7 +11,9 @@ shared by many documents is at its end and has no long lists. Lists are worked i
 each member is compared with the list's head, the class with the fewest rare shingles, and
 what that links becomes one component; only pairs of different components are compared in
 the second. Large groups of near copies thus cost links in proportion to their size.
-All comparisons are exact, by sets of 64-bit hashes of whole texts.
+Pairs whose sets must differ in too many elements by a signature of fixed size, the number of
+elements in each of CELLS ranges of hashes, go first; signatures of linked sets never do.
+All other comparisons are exact, by sets of 64-bit hashes of whole texts.
 
 Cases: a text that is null or has no words has an empty set, is linked with nothing and is
 its own component; fewer words than a shingle has are one shingle; rows with equal ids
@@ -35,6 +37,7 @@ from sievewell.llm.components import components
 from sievewell.llm.textarrays import by_bytes, mixed, shingle_sets
 
 BUCKETS = 1 << 17  # of the count sketch
+CELLS = 128  # of a signature, a byte each
 BITS = 1 << 25  # of the filter of classes to verify, at most
 LIST_COST = 8  # of a posting in an inverted list, in subset keys
 MOST_SMALL = 40
@@ -50,6 +53,10 @@ class Threshold:
         """The least common elements of linked sets of sizes a and b."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def apart(self, a: int, b: int) -> int:
+        """The most elements that are in one only of two linked sets of sizes a and b."""
+        return a + b - 2 * self.overlap(a, b)
+
     def least(self, n: int) -> int:
         """The least size of a set linked with one of size n."""
         return max(1, -(-self.num * n // self.den))
@@ -72,6 +79,12 @@ def _node(found: np.ndarray) -> np.int64:
     return mixed(np.atleast_1d(found.sum(dtype=np.uint64) + np.uint64(len(found))))[0].view(np.int64)
 
 
+def _signature(found: np.ndarray) -> bytes:
+    """How many elements are in each of CELLS equal ranges of hashes, up to 255."""
+    cells = np.bincount((found >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
 def _text_slices(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[slice, list]]:
     texts = batch.column(name).to_pylist()
     for at in by_bytes(texts):
@@ -79,26 +92,27 @@ def _text_slices(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[sl
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: a row for each document with its set's size and class; kind 1: sums for the count sketch."""
+    """kind 0: a row for each document with its set's size, class and signature; kind 1: sums for the count sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "node"]
+        names = ["kind", "id", "n", "node", "signature"]
         counts, seen = np.zeros(BUCKETS, np.int64), set()
         for batch in batches:
             for at, texts in _text_slices(batch):
-                sizes, nodes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+                sizes, nodes, cells = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
                 for i, s in enumerate(shingle_sets(texts, k)):
                     sizes[i], nodes[i] = len(s), _node(s) if len(s) else 0
+                    cells.append(_signature(s))
                     if nodes[i] not in seen:
                         seen.add(nodes[i])
                         np.add.at(counts, (s >> np.uint64(47)).astype(np.int64), 1)
                 ids = batch.column("doc_id").slice(at.start, at.stop - at.start)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int8)), ids, pa.array(sizes), pa.array(nodes)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int8)), ids, pa.array(sizes), pa.array(nodes), pa.array(cells, pa.binary())], names)
         full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(counts[full]), pa.array(np.zeros(len(full), np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(counts[full]), pa.array(np.zeros(len(full), np.int64)), pa.nulls(len(full), pa.binary())], names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(work, "kind byte, id long, n long, node long")
+    return plain.mapInArrow(work, "kind byte, id long, n long, node long, signature binary")
 
 
 def _boundary(rows: DataFrame, t: Threshold) -> int:
@@ -171,12 +185,27 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked, by their whole sets.
+def _plausible(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) of classes without those that by their signatures differ in too many elements to be linked."""
+    x, y = (classes.select(F.col("node").alias(a), F.col("n").alias(n), F.col("signature").alias(s)) for a, n, s in (("a", "n", "x"), ("b", "m", "y")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y"))
+                n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+                yield batch.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(axis=1) <= t.apart(n, m)))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are linked, by their signatures and then by their whole sets.
 
     The sets are built again from the texts, where a filter of the classes in question is
     at hand: only those are shuffled, never all texts.
     """
+    pairs = written(_plausible(pairs, classes, t), "jaccard-plausible")
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
     bitmap = _bitmap(wanted)
 
@@ -225,6 +254,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     t = Threshold(num, den)
     both = written(_sets(docs, k), "jaccard-rows")
     rows = both.filter("kind = 0").drop("kind")
+    classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = written(classes, "jaccard-classes")
     order = np.zeros(BUCKETS, np.int64)
     for r in both.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
         order[r["id"]] = r["n"]
@@ -235,7 +266,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     lists = written(post.join(heads, "token"), "jaccard-lists")  # of two classes or more
     spoke = lists.alias("s").filter((F.col("s.node") != F.col("s.head.node")) & _fits(t, "s", "s.head"))
     stars = written(spoke.select(F.least("s.node", "s.head.node").alias("a"), F.greatest("s.node", "s.head.node").alias("b")).distinct(), "jaccard-stars")
-    links = written(_verified(stars, docs, k, t), "jaccard-links")
+    links = written(_verified(stars, classes, docs, k, t), "jaccard-links")
 
     found = components(links)
     known = lists.drop("head").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -247,10 +278,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not pairs.isEmpty():
-        links = links.union(_verified(pairs, docs, k, t))
+        links = links.union(_verified(pairs, classes, docs, k, t))
         found = components(links)
 
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    classes = classes.select("node", "least")
     linked = found.join(classes, "node")
     by_component = linked.groupBy("component").agg(F.min("least").alias("all_least"))
     named = linked.join(by_component, "component").select("node", "all_least")

@@ -205,6 +205,18 @@ def test_thresholds_bound_every_linked_pair():
                     assert t.overlap(a, b) in t.subset_sizes(a, 60) and t.overlap(a, b) in t.subset_sizes(b, 60)
 
 
+def test_signatures_never_part_linked_sets():
+    r, t = np.random.default_rng(5), jaccard.Threshold(80, 100)
+    for n in (1, 3, 40, 700, 60_000):
+        whole = r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        for left in range(0, n // 3 + 1, max(1, n // 12)):
+            x, y = whole[: n - left // 2], whole[left - left // 2 :]
+            common = n - left // 2 - (left - left // 2)
+            if 100 * common >= 80 * n:
+                near = np.abs(np.frombuffer(jaccard._signature(x), np.uint8).astype(int) - np.frombuffer(jaccard._signature(y), np.uint8)).sum()
+                assert near <= t.apart(len(x), len(y)) == len(x) + len(y) - 2 * t.overlap(len(x), len(y))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
