@@ -295,6 +295,23 @@ def test_a_small_vocabulary_has_unknown_words(spark):
     assert len(got) == 20 and all(x["score"] < 0 and x["n_words"] == 50 for x in got.values())
 
 
+def test_every_word_keeps_its_own_count(spark):
+    r = random.Random(16)
+    texts = [prose(r, r.randint(1, 80)) + " the of" * r.randint(0, 3) for _ in range(40)]
+    ones, twos = Counter(w for t in texts for w in t.split()), Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
+    total, want = sum(ones.values()), {}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        logs = [np.log(ones[ws[0]] / total)]
+        for p in zip(ws, ws[1:], strict=False):
+            logs.append(np.log(twos[p] / ones[p[0]]) if twos[p] >= lmscore.LEAST else np.log(lmscore.BACKOFF * ones[p[1]] / total))
+        want[i] = sum(logs) / len(ws)
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    for vocabulary in (1, 9, 100, lmscore.VOCABULARY):
+        got = {x["doc_id"]: x["score"] for x in lmscore.scores(docs, vocabulary=vocabulary).collect()}
+        assert got == pytest.approx(want, abs=2e-6), vocabulary
+
+
 # ---- learned operators
 
 
