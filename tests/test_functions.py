@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import unicodedata
@@ -99,6 +100,28 @@ def test_decoders(spark):
     assert forms[0] == "scam" and forms[1] == "freemoney" or forms[1] == "free money"
 
 
+def test_queries_read_whole_texts(spark, tmp_path):
+    from sievewell.plans import screen
+
+    tail = "Ѕсаm h3ll0 a\u200bb p á y " * 3
+    texts = ["plain words of some length " + tail + str(i) for i in range(3)]
+    spark.createDataFrame([(7 + 8 * i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["msg_id"]: r for r in screen.QUERIES["decode_forms"](spark, str(tmp_path)).collect()}
+    glyphs, leet = str.maketrans(*text.MORE_HOMOGLYPHS), str.maketrans(*text.LEET)
+    for i, t in enumerate(texts):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", "s c á m " + t.replace("\u200b", "")) if not unicodedata.combining(c)).lower().translate(glyphs).translate(leet)
+        assert got[7 + 8 * i]["spaced"] == " ".join(plain.split())
+    for name, want in {
+        "homoglyph_fold_text": ["Ѕсаm аρе１２ " + t for t in texts], "leet_decode_text": ["h3ll0 $tup1d @b8 " + t for t in texts], "strip_invisible_text": ["abc d " + t.replace("\u200b", "") for t in texts],
+    }.items():
+        if name == "strip_invisible_text":
+            want = [" ".join(t.split()) for t in want]
+        else:
+            want = [t.translate(str.maketrans(*text.HOMOGLYPHS) if name[0] == "h" else leet) for t in want]
+        rows = screen.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r[0]: r[1] for r in rows} == {7 + 8 * i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(want)}, name
+
+
 def test_head_learns_from_vectors(spark):
     from sievewell.operators import vectors
 
