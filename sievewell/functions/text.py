@@ -41,11 +41,11 @@ def _unaccented(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-def normalize_text(text: Column, mode: str = "sql", table: tuple[str, str] = HOMOGLYPHS) -> Column:
+def normalize_text(text: Column, mode: str = "exact", table: tuple[str, str] = HOMOGLYPHS) -> Column:
     """NFKC, case folding and homoglyph folding, in this order.
 
-    Mode "exact" runs the first two in an Arrow UDF; "sql" approximates them by lower case
-    and ss for sharp s, which is the same on text that NFKC does not change.
+    Mode "exact" runs the first two in an Arrow UDF; "sql" is an approximation by lower case and
+    ss for sharp s without NFKC: wide letters, mathematical letters and ligatures keep their form.
     """
     folded = _folded(text) if mode == "exact" else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     return homoglyph_fold(folded, table)

@@ -19,7 +19,7 @@ LEXICONS = (
 NSFW = 0.7
 
 
-def signals(msgs: DataFrame, lexicons=LEXICONS, registry: detect.Registry | None = None, mode: str = "sql") -> DataFrame:
+def signals(msgs: DataFrame, lexicons=LEXICONS, registry: detect.Registry | None = None, mode: str = "exact") -> DataFrame:
     """Messages with norm, url_risk, pii, scam, lex and hints; detectors can be replaced by a registry."""
     own = registry or detect.Registry()
     norm = msgs.withColumn("norm", text.normalize_text(F.col("text"), mode))
@@ -27,7 +27,7 @@ def signals(msgs: DataFrame, lexicons=LEXICONS, registry: detect.Registry | None
     return norm.withColumns({"url_risk": own.get("url_risk")(n), "pii": own.get("pii")(n), "scam": own.get("scam")(n), "lex": lexicon_hits(n, lexicons), "hints": own.get("context_hints")(F.col("overlay"), F.col("quoted"))})
 
 
-def screen(msgs: DataFrame, lexicons=LEXICONS, registry: detect.Registry | None = None, mode: str = "sql") -> DataFrame:
+def screen(msgs: DataFrame, lexicons=LEXICONS, registry: detect.Registry | None = None, mode: str = "exact") -> DataFrame:
     """msg_id, lang, group_id, raw and verdict. No text leaves this step."""
     s = signals(msgs, lexicons, registry, mode)
     high = F.when(F.col("nsfw") > F.lit(NSFW), F.col("nsfw"))

@@ -122,6 +122,30 @@ def test_queries_read_whole_texts(spark, tmp_path):
         assert {r[0]: r[1] for r in rows} == {7 + 8 * i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(want)}, name
 
 
+def test_disguised_messages_are_seen(spark, tmp_path):
+    from sievewell.plans import screen
+
+    def wide(t):
+        return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t)
+
+    def bold(t):
+        return "".join(chr(0x1D41A + ord(c) - 97) if c.isascii() and c.islower() else c for c in t)
+
+    plain = ["such a stupid thing", "mail jo@example.org today", "see http://files.example.zip/a", "congratulations you have won", "confirm now with your password", "a fine day"]
+    forms = [plain, [wide(t) for t in plain], [bold(t) for t in plain], [t.replace("fi", "ﬁ") for t in plain]]
+    rows = [(7 + 8 * (10 * k + i), t, "en", "s") for k, ts in enumerate(forms) for i, t in enumerate(ts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = str.maketrans(*text.HOMOGLYPHS)
+    want = {i: hashlib.md5(unicodedata.normalize("NFKC", t).casefold().translate(table).encode()).hexdigest() for i, t, *_ in rows}
+    assert {r[0]: r[1] for r in screen.QUERIES["normalize_text"](spark, str(tmp_path)).collect()} == want
+    for name in ("lexicon_hits", "pii_hits", "url_risk", "scam_hits"):
+        got = [set() for _ in forms]
+        for r in screen.QUERIES[name](spark, str(tmp_path)).collect():
+            k, i = divmod(r["msg_id"] // 8, 10)
+            got[k].add((i, *(x for c, x in r.asDict().items() if c != "msg_id")))
+        assert len(set(map(frozenset, got))) == 1 and got[0], name
+
+
 def test_head_learns_from_vectors(spark):
     from sievewell.operators import vectors
 
