@@ -9,7 +9,9 @@ the leaves up. So no node can contradict an ancestor. The trees learn from inven
 
 Cases: null and empty html, and pages without main text, give an empty text; markup that is cut
 off is read as far as it goes; rows with equal ids are read one by one; null ids and urls are
-kept; other columns are ignored. Scripts, styles, templates and the head are never text.
+kept; other columns are ignored. Scripts, styles, templates and the head are never text. A head without an end tag ends
+at the first thing that no head holds; another dropped element without one ends with the block that it is in, or, where
+the page has no such end tag at all, at the next block. Formulas are text, their annotations are not.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ BLOCKS = (
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
     "header footer nav aside form fieldset legend label button select option textarea address details summary dialog menu center hgroup search"
 ).split()
-DROPPED = frozenset("script style template noscript svg iframe object head title canvas audio video math".split())
+DROPPED = frozenset("script style template noscript svg iframe object title canvas audio video annotation annotation-xml".split())
+#: Anything else ends a head that has no end tag.
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 HOLDS = frozenset("ul ol dl table select menu body".split())
@@ -51,20 +55,45 @@ class Tree:
     def __init__(self, html: str):
         self.tag, self.parent, self.names, self.pieces = ["html"], [-1], [()], []
         open_, link, skip, at = [0], False, None, 0
+        head, inner, lone, last = False, [], False, {}
         for m in _TAG.finditer(html):
             if m.start() < at:
                 continue
-            if skip is None and m.start() > at:
+            if head and html[at : m.start()].strip():
+                head = False
+            if skip is None and not head and m.start() > at:
                 self.pieces.append((open_[-1], html[at : m.start()], link))
             at = m.end()
             end, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if name is None:
                 continue
             name = name.lower()
+            if name == "head":
+                head = not end and "body" not in self.tag
+                continue
+            if name not in IN_HEAD and not (end and name not in ("body", "html")):
+                head = False
             if skip is not None:
-                if name == skip and end:
+                closed = attrs.endswith("/")
+                if name in RAW:
+                    if not end and not closed:
+                        stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                        at = stop.end() if stop else len(html)
+                    continue
+                if name != skip and name not in _IS_BLOCK:
+                    continue
+                if end and name in inner:
+                    while inner.pop() != name:
+                        pass
+                    continue
+                if end and name == skip:
                     skip = None
-                continue
+                    continue
+                if not (lone and name in _IS_BLOCK or end and any(self.tag[i] == name for i in open_)):
+                    if not end and not closed:
+                        inner.append(name)
+                    continue
+                skip = None
             if name in RAW and not end:
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                 if name == "textarea":
@@ -72,6 +101,9 @@ class Tree:
                 at = stop.end() if stop else len(html)
             elif name in DROPPED:
                 skip = None if end or attrs.endswith("/") else name
+                if skip and skip not in last:
+                    last[skip] = max((x.start() for x in re.finditer(rf"</{skip}\b", html, re.I)), default=-1)
+                inner, lone = [], skip is not None and last[skip] < at
             elif name == "a":
                 link = not end
             elif name not in _IS_BLOCK:

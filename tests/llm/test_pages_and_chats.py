@@ -58,6 +58,33 @@ def test_odd_pages(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_missing_end_tags_lose_no_text():
+    import numpy as np
+
+    def text(html):
+        tree = htmltext.Tree(html)
+        return tree.text(np.full(len(tree.tag), htmltext.IN))
+
+    start = "<html><head><meta charset=utf-8><title>no</title><style>p{}</style><script>// it's <x 'no</script>"
+    for between in ("</head><body>", "<body>", "", "</head>"):
+        assert text(f"{start}{between}<div><p>one<p>two</div></html>") == "one\ntwo"
+    assert text(start + "plain <b>words</b>") == "plain words"
+    for name in ("object", "canvas", "audio", "video", "svg", "template"):
+        assert text(f"<div><p>one</p><{name}>no</div><p>two</p>") == "one\ntwo"
+        assert text(f"<div><p>one</p><{name}><div><p>no</div>no</div><p>two</p><{name}>no</{name}>") == "one\ntwo"
+        assert text(f"<p>one</p><{name}><p>two</p>") == "one\ntwo"
+        assert text(f"<p>one</p><{name}>no<{name}>no</{name}><script>'</{name}>'</script>no</{name}><p>two</p>") == "one\ntwo"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds</p>") == "so x=1 holds"
+
+
+def test_a_page_without_the_end_of_its_head(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(50)
+    cut = pages.withColumn("html", F.regexp_replace("html", "(?i)</head>", ""))
+    assert pages.filter(F.lower("html").contains("</head>")).count() > 0
+    text = lambda p: {r["page_id"]: r["text"] for r in htmltext.extract(p).collect()}
+    assert text(cut) == text(pages) and all(text(cut).values())
+
+
 def brute_maximal(rows):
     by = defaultdict(list)
     for c, t, r, x in rows:
