@@ -5,8 +5,9 @@ where half is at least HALF and no less than the longest item, so that an item l
 one passage. Scores are BM25 over the distinct words of a passage, divided by the item's own
 score, so that one threshold serves all items. Bounds of blocks of items are summed for all
 passages of a text at once; passages that some block may still match are searched by
-block-max WAND; what scores above the threshold is verified by the share of the
-item's question and of its answer (its last sentence) that the passage repeats in runs of RUN words.
+block-max WAND; what scores above the threshold is verified by what the passage repeats in runs of
+words: half of the whole item, or half of its question and half of its answer (its last sentence).
+Runs have RUN words; those of a short whole item are shorter, so that one changed word breaks at most half of them.
 
 The index is small data of a stated size: test items are dealt to shards of about SHARD_BYTES
 of text, so that blocks stay small and their bounds tight; the indexes of up to PASS_SHARDS shards
@@ -46,11 +47,16 @@ def tokens(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-def runs(words: list[str]) -> set[tuple[str, ...]]:
-    n = min(RUN, len(words))
+def runs(words: list[str], most: int = RUN) -> set[tuple[str, ...]]:
+    n = min(most, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def run_size(n: int) -> int:
+    """The length of runs of a whole item of n words: one changed word breaks no more than half of them if n is 5 or more."""
+    return RUN if n >= 3 * RUN - 1 else 3 if n >= 8 else 2 if n >= 5 else n
+
+
 def parts(text: str) -> tuple[list[str], list[str]]:
     """Question and answer of an item, as words: its last sentence answers what is before."""
     cuts = [m.end() for m in re.finditer(r"[.!?\n]+\s*", text.rstrip().rstrip(".!?"))]
@@ -71,11 +77,12 @@ class Index:
     block: int
     question: list[set]
     answer: list[set]
+    whole: list[set]
 
 
 def build(items: list[tuple[int | None, str]], df: dict[str, int], total: int, mean: float, longest: int) -> Index:
     """The index of some items, with the word statistics of all."""
-    vocabulary, lists, question, answer, ids = {}, [], [], [], []
+    vocabulary, lists, question, answer, whole, ids = {}, [], [], [], [], []
     for item, text in sorted(items, key=lambda x: (x[0] is None, x[0], x[1])):
         words = Counter(tokens(text))
         if not words:
@@ -94,11 +101,12 @@ def build(items: list[tuple[int | None, str]], df: dict[str, int], total: int, m
         q, a = parts(text)
         question.append(runs(q))
         answer.append(runs(a))
+        whole.append(runs(tokens(text), run_size(size)))
     block = max(BLOCK, -(-len(ids) // MOST_BLOCKS))
     bounds = np.zeros((len(lists), max(1, -(-len(ids) // block))), np.float32)
     for w, (at, x) in enumerate(lists):
         np.maximum.at(bounds[w], np.array(at) // block, np.array(x, np.float32))
-    return Index(ids, max(HALF, longest), vocabulary, [(at, x, max(x)) for at, x in lists], bounds, block, question, answer)
+    return Index(ids, max(HALF, longest), vocabulary, [(at, x, max(x)) for at, x in lists], bounds, block, question, answer, whole)
 
 
 def search(index: Index, words: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -156,23 +164,29 @@ def leaks(index: Index, words: list[str], threshold: float = THRESHOLD, overlap:
         if index.bounds[mine].sum(axis=0).max() < least:  # words of both halves counted once
             continue
         hits = search(index, mine.tolist(), threshold)
-        have = runs_of(words[begin:end]) if hits else set()
+        passage = words[begin:end]
+        have = {RUN: runs_of(passage)} if hits else {}
         for item, score in hits:
-            shares = [sum(have_run(have, words[begin:end], r) for r in s) / len(s) if s else 1.0 for s in (index.question[item], index.answer[item])]
-            if min(shares) >= overlap and score > out.get(item, (0.0,))[0]:
-                out[item] = (float(score), *shares)
+            if score <= out.get(item, (0.0,))[0]:
+                continue
+            q, a, whole = (share(have, passage, s) for s in (index.question[item], index.answer[item], index.whole[item]))
+            if max(min(q, a), whole) >= overlap:
+                out[item] = (float(score), q, a)
     return out
 
 
-def runs_of(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + RUN]) for i in range(len(words) - RUN + 1)}
+def runs_of(words: list[str], n: int = RUN) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def have_run(have: set, words: list[str], run: tuple[str, ...]) -> bool:
-    if len(run) == RUN:
-        return run in have
-    n = len(run)
-    return any(tuple(words[i : i + n]) == run for i in range(len(words) - n + 1))
+def share(have: dict[int, set], words: list[str], of: set) -> float:
+    """The share of the runs `of`, all of one length, that `words` has; `have` keeps its runs of each length."""
+    if not of:
+        return 1.0
+    n = len(next(iter(of)))
+    if n not in have:
+        have[n] = runs_of(words, n)
+    return len(of & have[n]) / len(of)
 
 
 def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:

@@ -266,6 +266,23 @@ def test_shards_find_the_same(spark):
         assert found[0].keys() == found[1].keys() and len(found[0]) >= 1
 
 
+def test_near_copies_and_items_without_their_last_sentence_are_leaks(spark):
+    r = random.Random(21)
+    items = [(i, prose(r, 6 + i) + ". " + prose(r, 2 + i % 7).capitalize() + ".") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    forms = []
+    for i, t in items:
+        head, last = t[:-1].split(". ")
+        words = last.split()
+        edited = " ".join([*words[: len(words) // 2], "otherword", *words[len(words) // 2 + 1 :]])
+        middle = t.split()
+        middle[len(middle) // 2] = "otherword"
+        forms.append((i, [t, f"{head}. {edited}.", f"{head}. {edited} added.", " ".join(middle), *([head] if i >= 12 else [])]))
+    docs = documents(spark, [(100 * i + k, f"{prose(r, 40)} {f} {prose(r, 40)}", "en", "s") for i, fs in forms for k, f in enumerate(fs)] + [(9000 + k, prose(r, 120), "en", "s") for k in range(60)])
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs, bench).collect()}
+    assert got == {(100 * i + k, i) for i, fs in forms for k in range(len(fs))}
+
+
 # ---- licences
 
 
