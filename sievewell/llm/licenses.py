@@ -5,8 +5,8 @@ made one, everything but letters and digits turned to single spaces. Its SHA-256
 the digests of known licence texts in the same form. The entire text of a document is looked up,
 and besides each entire line, as documents carry licence notices as lines of their own.
 
-Known texts come as a table of (license_id, scope, text), scope `text` or `line`; NOTICES is a small
-one of our own. Digests of 32 bytes are all that is joined; equal lines of a document count once.
+Known texts come as a table of (license_id, scope, text), scope `text` or `line`; NOTICES and `licensetexts` are
+our own. Digests of 32 bytes are all that is joined; equal lines of a document count once.
 
 Cases: null and empty texts, and texts of copyright lines alone, match nothing; a text equal to two
 known ones gives a row for each; rows with equal ids are scanned one by one and give equal rows once;
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewell.llm import licensetexts
 from sievewell.llm.common import bind, table
 
 #: Spellings held equal, as in published licence-matching guidelines; fixed values.
@@ -57,10 +58,14 @@ def digest(canon: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
-    """license_id, scope and digest of known licences: of `texts`, or of NOTICES."""
-    if texts is None:
-        texts = spark.createDataFrame(list(NOTICES), "license_id string, scope string, text string")
-    return texts.select("license_id", "scope", digest(canonical(F.col("text"))).alias("digest")).filter(F.col("digest").isNotNull()).distinct()
+    """license_id, scope and digest of known licences: of `texts`, or of NOTICES and `licensetexts`."""
+    own = texts is None
+    if own:
+        texts = spark.createDataFrame([*NOTICES, *licensetexts.TEXTS], "license_id string, scope string, text string")
+    given = texts.select("license_id", "scope", digest(canonical(F.col("text"))).alias("digest")).filter(F.col("digest").isNotNull())
+    if own:
+        given = given.unionByName(spark.createDataFrame([(i, "text", d) for i, d in licensetexts.DIGESTS], "license_id string, scope string, digest string"))
+    return given.distinct()
 
 
 def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:

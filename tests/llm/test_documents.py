@@ -3,13 +3,14 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewell.llm import components, decontam, jaccard, langid, licenses, lmscore, mixing, quality, queries, rules
+from sievewell.llm import components, decontam, jaccard, langid, licenses, licensetexts, lmscore, mixing, quality, queries, rules
 from sievewell.llm.common import bind, n_words, words
 from sievewell.llm.textarrays import shingle_sets, word_hashes
 from tests.conftest import SF
@@ -297,6 +298,17 @@ def test_license_forms_are_one(spark, none):
     assert licenses.scan(none, licenses.known(spark)).count() == 0
 
 
+def test_whole_licences_and_identifier_lines(spark):
+    mit = next(t for i, _, t in licensetexts.TEXTS if i == "MIT")
+    texts = ["MIT License\n\nCopyright (c) 2021 Jo\n\n" + mit, " ".join(mit.split()), "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "x\n# SPDX-License-Identifier: MIT\ny", mit + " and more"]
+    folder = Path("/usr/share/common-licenses")
+    files = [("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")] if folder.is_dir() else []
+    want = {(0, "MIT", "text"), (1, "MIT", "text"), (2, "GPL-2.0", "line"), (3, "MIT", "line")} | {(10 + k, i, "text") for k, (i, _) in enumerate(files)}
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)] + [(10 + k, (folder / f).read_text(), "en", "s") for k, (_, f) in enumerate(files)])
+    got = {(x["doc_id"], x["license_id"], x["scope"]) for x in licenses.scan(docs, licenses.known(spark)).collect()}
+    assert want == {x for x in got if x[0] < 10 or x[2] == "text"}
+
+
 # ---- language model
 
 
