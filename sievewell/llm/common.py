@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,28 +20,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="sievewell-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, where both are one process, may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="sievewell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _own_dir(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
-def small_batches(rows: int = 1000) -> None:
-    """Keeps what a task hands to Python at a time to `rows` rows, as documents can be long."""
-    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
+def small_batches(rows: int = 1000, size: int = 16 << 20) -> None:
+    """Keeps what a task hands to Python at a time to `rows` rows and about `size` bytes, as documents can be long.
+
+    These are settings of the session, read when a result is computed, and so they stay set."""
+    conf = SparkSession.active().conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(str(conf.get(key)).rstrip("bB")) <= most:
+            conf.set(key, str(most))
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, and read again after a lost executor."""
+    """`df` as a Parquet table in the shared folder: computed once, and read again after a lost executor.
+
+    Its shuffle files are deleted as soon as it is written; `forget` deletes the table itself."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, of which nothing is left to compute."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            there = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def bind(value: Column, body) -> Column:

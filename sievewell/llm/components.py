@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.llm.common import written
+from sievewell.llm.common import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,14 +22,18 @@ def components(links: DataFrame) -> DataFrame:
         to = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "node"), "hooks")
         for _ in range(2):
             step = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            to = written(to.join(step, "to").select("node", F.col("next").alias("to")), "hooks")
+            before, to = to, written(to.join(step, "to").select("node", F.col("next").alias("to")), "hooks")
+            forget(before)
         ends = [to.select(F.col("node").alias(c), F.col("to").alias(c + "_to")) for c in "ab"]
-        left = left.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
-        left = written(left.filter("a <> b").distinct(), "links")
+        before, now = left, left.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        left = written(now.filter("a <> b").distinct(), "links")
+        forget(before)
         if labels is None:
-            labels = to.withColumnRenamed("to", "component")
+            labels = written(to.withColumnRenamed("to", "component"), "labels")
         else:
             step = to.select(F.col("node").alias("component"), F.col("to").alias("next"))
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        labels = written(labels, "labels")
+            before, now = labels, labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+            labels = written(now, "labels")
+            forget(before)
+        forget(to)
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))

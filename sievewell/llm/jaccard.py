@@ -15,10 +15,17 @@ Pairs whose sets must differ in too many elements by a signature of fixed size,
 elements in each of CELLS ranges of hashes, go first; signatures of linked sets never do.
 All other comparisons are exact, by sets of 64-bit hashes of whole texts.
 
+Most of the first shingles are in one class only. So they are exchanged twice: first by themselves,
+16 bytes each, to learn which are in two classes or more, and then, with all that is known of
+their places, only those that a filter of these lets through. Filters have BITS bits at most; beyond
+about BITS / 16 entries they let more through, and the exact joins behind them do the rest.
+
 Cases: a text that is null or has no words has an empty set, is linked with nothing and is
 its own component; fewer words than a shingle has are one shingle; rows with equal ids
 are separate rows of one id; null ids keep their rows, and a component is the least id
-that is not null; other columns of the input are ignored by `join` and kept by `deduplicated`.
+that is not null; other columns of the input are ignored by `join` and kept by `deduplicated`,
+which decides by row: of a group the row of least id (null last) stays, of several such
+rows the one whose set, and then whose whole row, has the least hash.
 """
 
 from __future__ import annotations
@@ -32,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.llm.common import small_batches, table, written
+from sievewell.llm.common import forget, small_batches, table, written
 from sievewell.llm.components import components
 from sievewell.llm.textarrays import by_bytes, mixed, shingle_sets
 
 BUCKETS = 1 << 17  # of the count sketch
 CELLS = 128  # of a signature, a byte each
-BITS = 1 << 25  # of the filter of classes to verify, at most
+BITS = 1 << 28  # of a filter of shingles, classes or ids, at most
 LIST_COST = 8  # of a posting in an inverted list, in subset keys
 MOST_SMALL = 40
 
@@ -131,8 +138,9 @@ def _boundary(rows: DataFrame, t: Threshold) -> int:
     return min(range(MOST_SMALL), key=lambda x: (cost(x), -x))
 
 
-def _postings(docs: DataFrame, k: int, t: Threshold, order: np.ndarray, small: int) -> DataFrame:
-    """A row for each subset of small sets and each first shingle of large ones.
+def _postings(docs: DataFrame, k: int, t: Threshold, order: np.ndarray, small: int, only: np.ndarray | None = None) -> DataFrame:
+    """A row for each subset of small sets and each first shingle of large ones: its token and class, or,
+    of the tokens that the filter `only` may hold, its place besides.
 
     n - pos bounds what two sets meeting here have in common: of a subset its size, of a
     shingle the elements from it on. A class is emitted once by each task that meets it.
@@ -167,22 +175,34 @@ def _postings(docs: DataFrame, k: int, t: Threshold, order: np.ndarray, small: i
                         sizes.append(len(s))
                 if got:
                     each = [len(g[0]) for g in got]
-                    tokens, pos, indexed = (np.concatenate([g[i] for g in got]) for i in range(3))
-                    columns = [tokens.view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each), pos.astype(np.int32), indexed]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "pos", "indexed"])
+                    tokens, nodes = np.concatenate([g[0] for g in got]), np.repeat(np.array(nodes, np.int64), each)
+                    if only is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes)], ["token", "node"])
+                        continue
+                    hit = _held(only, tokens)
+                    pos, indexed = (np.concatenate([g[i] for g in got]) for i in (1, 2))
+                    columns = [tokens.view(np.int64), nodes, np.repeat(np.array(sizes, np.int32), each), pos.astype(np.int32), indexed]
+                    yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns], ["token", "node", "n", "pos", "indexed"])
+
+    return docs.select("text").mapInArrow(work, "token long, node long" + (", n int, pos int, indexed boolean" if only is not None else ""))
 
-    return docs.select("text").mapInArrow(work, "token long, node long, n int, pos int, indexed boolean")
 
+def _filter(values: DataFrame) -> np.ndarray:
+    """A filter of fixed size for the longs of a column: one bit each, of BITS bits at most. Its words are all that reaches the driver."""
+    name = values.columns[0]
+    bits = min(BITS, 1 << max(16, (16 * values.count()).bit_length()))
+    at = F.pmod(F.col(name), F.lit(bits))
+    words = values.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out.view(np.uint64)
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size for classes: one bit each, of BITS bits at most. The rows that reach the driver are its words."""
-    bits = min(BITS, 1 << max(16, (16 * nodes.count()).bit_length()))
-    at = F.pmod("node", F.lit(bits))
-    words = nodes.select(F.floor(at / 32).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(node, {bits}), 32) as int))").alias("b"))
-    out = np.zeros(bits // 32, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = r["b"]
-    return out.astype(np.uint32)
+
+def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a filter may hold."""
+    at = values.astype(np.int64).view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
@@ -207,7 +227,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t:
     """
     pairs = written(_plausible(pairs, classes, t), "jaccard-plausible")
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
-    bitmap = _bitmap(wanted)
+    bits = _filter(wanted)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -215,12 +235,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t:
             for _, texts in _text_slices(batch):
                 nodes, elements = [], []
                 for s in shingle_sets(texts, k):
-                    if len(s) and (node := _node(s)) not in seen:
-                        at = int(node) % (32 * len(bitmap))
-                        if bitmap[at // 32] >> (at % 32) & 1:
-                            seen.add(node)
-                            nodes.append(node)
-                            elements.append(s.tobytes())
+                    if len(s) and (node := _node(s)) not in seen and _held(bits, np.atleast_1d(node))[0]:
+                        seen.add(node)
+                        nodes.append(node)
+                        elements.append(s.tobytes())
                 if nodes:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)), pa.array(elements, pa.binary())], ["node", "elements"])
 
@@ -237,7 +255,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t:
                 keep[i] = len(np.intersect1d(x, y, assume_unique=True)) >= t.overlap(len(x), len(y))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(compare, "a long, b long")
+    out = written(both.mapInArrow(compare, "a long, b long"), "jaccard-links")
+    forget(pairs, wanted, sets)
+    return out
 
 
 def _fits(t: Threshold, a: str, b: str):
@@ -248,57 +268,95 @@ def _fits(t: Threshold, a: str, b: str):
     return sizes & (shared * (t.num + t.den) >= t.num * (n + m))
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of `docs`."""
+def _grouped(docs: DataFrame, k: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Of each row its id, n and node (its class; 0 for an empty set); of each class its node, least id and component."""
     small_batches()
-    t = Threshold(num, den)
     both = written(_sets(docs, k), "jaccard-rows")
-    rows = both.filter("kind = 0").drop("kind")
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    classes = written(classes, "jaccard-classes")
+    rows = both.filter("kind = 0").select("id", "n", "node")
+    by_node = both.filter("kind = 0 AND n > 0").groupBy("node")
+    classes = written(by_node.agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature")), "jaccard-classes")
+    sketch = both.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows
     order = np.zeros(BUCKETS, np.int64)
-    for r in both.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
-        order[r["id"]] = r["n"]
-    post = written(_postings(docs, k, t, order, _boundary(rows, t)), "jaccard-postings")
+    order[sketch["id"].to_numpy()] = sketch["n"].to_numpy()
+    small = _boundary(rows, t)
+
+    held = _postings(docs, k, t, order, small).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = written(held.filter("lo < hi").select("token"), "jaccard-shared")
+    post = written(_postings(docs, k, t, order, small, _filter(shared)), "jaccard-postings")
+    forget(shared)
 
     at = F.struct("pos", "n", "node")
     heads = post.groupBy("token").agg(F.min(at).alias("head"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token", "head")
-    lists = written(post.join(heads, "token"), "jaccard-lists")  # of two classes or more
+    lists = post.join(heads, "token")  # of two classes or more
     spoke = lists.alias("s").filter((F.col("s.node") != F.col("s.head.node")) & _fits(t, "s", "s.head"))
     stars = written(spoke.select(F.least("s.node", "s.head.node").alias("a"), F.greatest("s.node", "s.head.node").alias("b")).distinct(), "jaccard-stars")
-    links = written(_verified(stars, classes, docs, k, t), "jaccard-links")
+    links = _verified(stars, classes, docs, k, t)
 
     found = components(links)
-    known = lists.drop("head").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = post.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = written(known, "jaccard-known")
+    forget(post)
     split = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
     rest = written(known.join(split, "token", "left_semi").distinct(), "jaccard-rest")
+    forget(known)
     x, y = rest.filter("indexed").alias("x"), rest.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & _fits(t, "x", "y"))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
+    forget(stars, rest)
     if not pairs.isEmpty():
-        links = links.union(_verified(pairs, classes, docs, k, t))
-        found = components(links)
-
-    classes = classes.select("node", "least")
-    linked = found.join(classes, "node")
-    by_component = linked.groupBy("component").agg(F.min("least").alias("all_least"))
-    named = linked.join(by_component, "component").select("node", "all_least")
-    classes = classes.join(named, "node", "left").select("node", F.coalesce("all_least", "least").alias("component_id"))
+        more = _verified(pairs, classes, docs, k, t)
+        forget(found)
+        found = components(links.union(more))
+        forget(more)
+    forget(links, pairs)
+    return rows, classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of `docs`."""
+    rows, classes = _grouped(docs, k, Threshold(num, den))
+    classes = written(classes, "jaccard-grouped")
+    by_component = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = classes.join(by_component, "component").select("node", "component_id")
     empty = rows.filter("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    full = rows.filter("n > 0").join(classes, "node").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    full = rows.filter("n > 0").join(named, "node").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` without those of a group but the one of least id, with all their columns. A null id stays."""
-    groups = written(join(docs, k, num, den), "jaccard-groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    out = docs.join(gone.distinct(), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
-    if not groups.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").isEmpty():
-        out = out.filter("doc_id IS NULL").unionByName(out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return out
+    """The rows of `docs` with all their columns, but one row only of each group.
+
+    Rows whose id no dropped row has, by a filter of these ids, never leave their task; the texts of the others are shuffled."""
+    rows, classes = _grouped(docs, k, Threshold(num, den))
+    classes = written(classes, "jaccard-grouped")
+    best = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("last"), "least", F.col("node").alias("stays"))).alias("best"))
+    chosen = classes.join(best, "component").select("node", (F.col("node") == F.col("best.stays")).alias("stays"), "best.least")
+    by_key = rows.filter("n > 0").groupBy("id", "node").agg(F.count(F.lit(1)).alias("copies")).join(chosen, "node")
+    keys = by_key.select("id", "node", "copies", (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays")).filter("copies > 1 OR NOT stays")
+    keys = written(keys, "jaccard-keys")
+    bits = _filter(keys.select(F.xxhash64("id").alias("h")))
+
+    @F.arrow_udf("boolean")
+    def named(hashes: pa.Array) -> pa.Array:
+        return pa.array(_held(bits, hashes.to_numpy(zero_copy_only=False)))
+
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        texts = texts.to_pylist()
+        return pa.array([_node(s) if len(s) else 0 for part in by_bytes(texts) for s in shingle_sets(texts[part], k)], pa.int64())
+
+    row = [docs[f"`{c}`"] for c in docs.columns]
+    hashed = named(F.xxhash64(docs["doc_id"].cast("long")))
+    plain = [docs[f"`{f.name}`"] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    near = docs.filter(hashed).select(F.struct(*row).alias("_row"), docs["doc_id"].cast("long").alias("_id"), node_of(docs["text"]).alias("_node"), F.xxhash64(*plain).alias("_hash"))
+    gone = keys.filter("NOT stays").select("id", "node")
+    near = near.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_node") == F.col("node")), "left_anti")
+    if not keys.filter("stays").isEmpty():
+        once = near.filter("_node <> 0").groupBy("_id", "_node").agg(F.min_by("_row", "_hash").alias("_row"))
+        near = near.filter("_node = 0").select("_row").unionByName(once.select("_row"))
+    return docs.filter(~hashed).select(*row).unionByName(near.select("_row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
