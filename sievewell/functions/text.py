@@ -18,8 +18,8 @@ WIDE_DIGITS = ("０１２３４５６７８９", "0123456789")
 HOMOGLYPHS = tuple("".join(x) for x in zip(CYRILLIC_SMALL, CYRILLIC_CAPITAL, GREEK_CAPITAL, GREEK_SMALL, WIDE_DIGITS, strict=True))
 MORE_HOMOGLYPHS = ("εαορуѕ", "eaopys")
 LEET = ("0134578@$", "oieastbas")
-#: Zero-width characters, direction marks, variation selectors and tag characters.
-INVISIBLE = r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{180E}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{E0000}-\x{E007F}]"
+#: Zero-width characters, the soft hyphen, direction controls, variation selectors and tag characters.
+INVISIBLE = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{AD}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{E0000}-\x{E007F}]"
 WHITE = r"\p{Z}\t\n\x0b\x0c\r"
 
 

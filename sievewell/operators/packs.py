@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 # Actions from least to most protective, and layers from general to specific.
 ACTIONS = ("label_only", "warn", "strong_warn", "block", "critical_intervention")
 LAYERS = ("baseline", "jurisdiction", "community")
-SIGNERS = {"baseline": ("trust_and_safety", "legal_review"), "jurisdiction": ("trust_and_safety", "legal_review", "cultural_review"), "community": ("trust_and_safety",)}
+SIGNERS = {"jurisdiction": ("legal_review", "cultural_review"), "community": ("trust_and_safety",)}
 CONTEXTS = ("QUOTED_SPEECH_CONTEXT", "NEWS_CONTEXT", "EDUCATION_CONTEXT", "COUNTERSPEECH_CONTEXT")
 TOKEN_BUDGET, KEEP, SOON_DAYS, MOST_DAYS = 1800, 3, 30, 540
 
@@ -20,21 +20,28 @@ def action_rank(action: Column) -> Column:
 
 
 def default_action(severity: Column) -> Column:
-    return F.when(severity >= 5, "critical_intervention").when(severity == 4, "strong_warn").when(severity == 3, "warn").otherwise("label_only")
+    return F.when(severity == 5, "critical_intervention").when(severity == 4, "strong_warn").when(severity == 3, "warn").otherwise("label_only")
 
 
 def resolve(rules: DataFrame) -> DataFrame:
-    """The active rule of each category over (layer, block, category, floor, action) rows.
+    """The active rule of each category over (layer, block, category, floor, action) rows of the overlays.
 
-    The highest floor and the most protective action win; the source is the most specific layer
-    that has a `rules` row, else the first that names the category; child safety stays as the baseline has it.
+    The highest floor and the most protective action win. An `overrides` row has the action of its floor, whatever
+    it states; a `rules` row has no floor, and warns if it states no action. An action that is not known is kept if a
+    category has no other row, and else counts as `label_only`. The source is the most specific layer with a `rules` row,
+    else the first that names the category. Child safety is always there, as the baseline has it; other rows of
+    the baseline resolve nothing, and rows without a category are left out.
     """
     level = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer")).cast("int")
-    act = F.coalesce("action", F.when(F.col("block") == "rules", F.lit("warn")).otherwise(default_action(F.col("floor"))))
-    ranked = rules.select("category", "layer", F.coalesce("floor", F.lit(0)).alias("floor"), F.struct(action_rank(act).alias("rank"), act.alias("action")).alias("act"), F.when(F.col("block") == "rules", F.struct(level.alias("l"), "layer")).alias("own"), F.struct(level.alias("l"), "layer").alias("any"))
-    got = ranked.groupBy("category").agg(F.max("floor").alias("floor"), F.max("act").alias("act"), F.max("own").alias("own"), F.min("any").alias("any"))
-    child = F.col("category") == 1
-    return got.select("category", F.when(child, 5).otherwise(F.col("floor")).cast("int").alias("severity_floor"), F.when(child, F.lit("critical_intervention")).otherwise(F.col("act.action")).alias("action"), F.when(child, F.lit("baseline")).otherwise(F.coalesce("own.layer", "any.layer")).alias("source"))
+    own, floor = F.col("block") == "rules", F.coalesce("floor", F.lit(0))
+    act = F.when(own, F.coalesce("action", F.lit("warn"))).otherwise(default_action(floor))
+    folded = rules.filter(F.col("layer").isin(*LAYERS[1:]) & (F.col("category") != 1))
+    ranked = folded.select("category", F.when(own, 0).otherwise(floor).alias("floor"), F.struct(action_rank(act).alias("rank"), act.alias("action")).alias("act"), F.when(own, F.struct(level.alias("l"), "layer")).alias("own"), F.struct(level.alias("l"), "layer").alias("any"))
+    got = ranked.groupBy("category").agg(F.max("floor").alias("floor"), F.max("act").alias("act"), F.max("own").alias("own"), F.min("any").alias("any"), F.count(F.lit(1)).alias("n"))
+    action = F.when((F.col("n") > 1) & (F.col("act.rank") == 0), "label_only").otherwise(F.col("act.action"))
+    out = got.select("category", F.col("floor").cast("int").alias("severity_floor"), action.alias("action"), F.coalesce("own.layer", "any.layer").alias("source"))
+    child = rules.sparkSession.range(1).select(F.lit(1).alias("category"), F.lit(5).alias("severity_floor"), F.lit("critical_intervention").alias("action"), F.lit("baseline").alias("source"))
+    return out.unionByName(child)
 
 
 def allowed_contexts(layers: DataFrame) -> DataFrame:
@@ -52,20 +59,22 @@ def pack_kind(skill_id: Column, prefix: str = "sievewell") -> Column:
 
 
 def violations(packs: DataFrame) -> DataFrame:
-    """skill_id and broken rule: a row for each rule that a pack breaks."""
+    """skill_id and broken rule: a row for each rule that a pack breaks. `provenance` has an entry for each lexicon."""
     kind, empty = pack_kind(F.col("skill_id")), F.array().cast("array<string>")
     wanted = F.create_map(*[x for k, v in SIGNERS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
     over = F.coalesce("overrides", F.array().cast("array<struct<category:int,floor:int>>"))
+    named = F.concat(F.transform(over, lambda o: o["category"]), F.coalesce("rule_categories", F.array().cast("array<int>")))
+    shipped = F.coalesce("provenance", empty)
     lacking = F.array_except(F.try_element_at(wanted, kind), F.coalesce("signers", empty))
     overlay = kind != "baseline"
     rules = {
         "UNKNOWN_KIND": kind.isNull(),
-        "CATEGORY_RANGE": F.exists(over, lambda o: ~o["category"].between(0, 15)),
+        "CATEGORY_RANGE": F.exists(named, lambda c: c.isNull() | ~c.between(0, 15)),
         "OWN_TAXONOMY": overlay & F.col("has_taxonomy"),
         "SIGNER_MISSING": F.size(lacking) > 0,
-        "CONTEXTS_MISSING": overlay & F.exists(over, lambda o: o["floor"] >= 4) & (F.size(F.array_except(F.array(*[F.lit(c) for c in CONTEXTS]), F.coalesce("contexts", empty))) > 0),
+        "CONTEXTS_MISSING": F.exists(over, lambda o: F.coalesce(o["floor"], F.lit(0)) >= 4) & (F.size(F.array_except(F.array(*[F.lit(c) for c in CONTEXTS]), F.coalesce("contexts", empty))) > 0),
         "PRIVACY_IN_OVERLAY": overlay & F.col("has_privacy"),
-        "LEXICON_PROVENANCE": F.exists(F.coalesce("provenance", empty), lambda p: (p == "") | p.isNull()),
+        "LEXICON_PROVENANCE": F.exists(shipped, lambda p: p.isNull() | (p == "")) | ((F.size(shipped) > 0) & (F.size(F.coalesce("signers", empty)) == 0)),
     }
     broken = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
     return packs.select("skill_id", F.explode(broken).alias("rule"))
@@ -76,10 +85,11 @@ def version_key(version: Column) -> Column:
     return F.transform(F.split(version, r"\."), lambda x: F.coalesce(F.regexp_extract(x, r"^\d+", 0).try_cast("int"), F.lit(0)))
 
 
-def at_least(version: Column, least: Column, parts: int = 4) -> Column:
-    """Whether a version is not below another, both filled up with zeros."""
-    full = lambda v: F.slice(F.concat(version_key(v), F.array_repeat(F.lit(0), parts)), 1, parts)
-    return full(version) >= full(least)
+def at_least(version: Column, least: Column) -> Column:
+    """Whether a version is not below another, the shorter one filled up with zeros."""
+    a, b = version_key(version), version_key(least)
+    full = lambda x, y: F.concat(x, F.array_repeat(F.lit(0), F.greatest(F.size(y) - F.size(x), F.lit(0))))
+    return full(a, b) >= full(b, a)
 
 
 def history(registered: DataFrame) -> DataFrame:
@@ -143,5 +153,5 @@ def sections(manifests: DataFrame) -> DataFrame:
 
 
 def privacy_intact(baseline: DataFrame, overlays: DataFrame, key: str = "rule_id", text: str = "rule") -> DataFrame:
-    """Privacy rules of the baseline that an overlay states differently; a release needs this to be empty."""
-    return overlays.alias("o").join(baseline.alias("b"), key).filter(~F.col(f"o.{text}").eqNullSafe(F.col(f"b.{text}"))).select(key, F.col(f"o.{text}").alias("overlay"), F.col(f"b.{text}").alias("baseline"))
+    """Privacy rules that overlays state, be they new, changed or the same, with the baseline's; a release needs this to be empty."""
+    return overlays.alias("o").join(baseline.alias("b"), key, "left").select(key, F.col(f"o.{text}").alias("overlay"), F.col(f"b.{text}").alias("baseline"))

@@ -14,17 +14,16 @@ USER_CONTEXTS = ("disagree", "out_of_context", "quoted_speech", "other")
 
 
 def parse_window(spec: Column) -> Column:
-    """Seconds of a window such as 90, 45s, 30m, 24h or 7d; null for anything else."""
-    unit = F.lower(F.regexp_extract(spec, r"^\d+([smhdSMHD]?)$", 1))
-    n = F.regexp_extract(spec, r"^(\d+)[smhdSMHD]?$", 1)
-    by = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).otherwise(1)
-    return F.when(n != "", n.cast("long") * by)
+    """Seconds of a window such as 45s, 30m, 24h or 7d; null for anything else, a number without a unit or beyond a long too."""
+    unit = F.lower(F.right(spec, F.lit(1)))
+    n = F.regexp_extract(spec, r"^(\d+)[smhdSMHD]$", 1).try_cast("long")
+    return F.try_multiply(n, F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).otherwise(1))
 
 
 def valid_updates(updates: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Updates of batches in which every update has a group, a counter and a delta; a bad one rejects its batch."""
-    bad = F.col("group_id").isNull() | F.col("counter_id").isNull() | F.col("delta").isNull()
-    rejected = updates.filter(bad).select(batch).distinct()
+    """Updates of batches in which every update has a group and a counter, neither empty, and a delta; a bad one rejects its batch."""
+    lacks = lambda c: F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) == 0
+    rejected = updates.filter(lacks("group_id") | lacks("counter_id") | F.col("delta").isNull()).select(batch).distinct()
     return updates.join(rejected, batch, "left_anti")
 
 

@@ -60,6 +60,8 @@ def train_head(vectors: DataFrame, features: str = "embedding", label: str = "la
 
     counts = vectors.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()  # two numbers
-    weighted = vectors.join(F.broadcast(counts.limit(MOST_PROTOTYPES)), label).withColumn("_w", F.lit(float(total[0])) / (F.lit(float(total[1])) * F.col("_n")))
+    if total[1] > MOST_PROTOTYPES:
+        raise ValueError(f"{total[1]} classes; {MOST_PROTOTYPES} are broadcast at most")
+    weighted = vectors.join(F.broadcast(counts), label).withColumn("_w", F.lit(float(total[0])) / (F.lit(float(total[1])) * F.col("_n")))
     ready = weighted.select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"), "_w")
     return LogisticRegression(weightCol="_w", maxIter=50).fit(ready)

@@ -13,14 +13,18 @@ RULES = (
     ("baseline", "overrides", 1, 5, "critical_intervention"), ("baseline", "overrides", 5, 2, None), ("baseline", "overrides", 7, 3, None), ("baseline", "overrides", 9, 3, "warn"), ("baseline", "overrides", 12, 5, None),
     ("jurisdiction", "overrides", 1, 2, "label_only"), ("jurisdiction", "overrides", 7, 4, None), ("jurisdiction", "overrides", 4, 4, "block"), ("jurisdiction", "rules", 9, 2, "strong_warn"), ("jurisdiction", "overrides", 11, 1, "shout"),
     ("community", "rules", 5, None, "strong_warn"), ("community", "rules", 15, None, None), ("community", "rules", 7, None, "label_only"), ("community", "overrides", 4, 1, None),
+    ("jurisdiction", "rules", 13, 4, "shout"), ("community", "rules", 13, None, "howl"), ("community", "rules", 14, None, "howl"), ("jurisdiction", "overrides", 8, 6, None),
 )
 LAYERS = (("b1", "baseline", ("QUOTED_SPEECH_CONTEXT",)), ("b1", "jurisdiction", ("NEWS_CONTEXT", "QUOTED_SPEECH_CONTEXT")), ("b1", "community", ("EDUCATION_CONTEXT",)), ("b2", "baseline", ()), ("b2", "community", ("NEWS_CONTEXT",)))
 PACKS = (
-    ("sievewell.baseline.main", ("trust_and_safety", "legal_review"), (), (), True, True, ("board",)),
-    ("sievewell.jurisdiction.aa", ("trust_and_safety", "legal_review", "cultural_review"), ((4, 4),), ("QUOTED_SPEECH_CONTEXT", "NEWS_CONTEXT", "EDUCATION_CONTEXT", "COUNTERSPEECH_CONTEXT"), False, False, ("court",)),
-    ("sievewell.jurisdiction.bb", ("legal_review",), ((4, 5), (16, 1)), ("NEWS_CONTEXT",), True, False, ("",)),
-    ("sievewell.community.cc", (), ((5, 2),), (), False, True, ()),
-    ("other.dd", ("trust_and_safety",), ((3, 4),), (), False, False, ()),
+    ("sievewell.baseline.main", ("trust_and_safety", "legal_review"), (), (), True, True, ("board",), ()),
+    ("sievewell.baseline.strict", (), ((4, 4),), (), False, False, (), (None,)),
+    ("sievewell.jurisdiction.ee", ("legal_review", "cultural_review"), ((4, 3),), (), False, False, ("court",), (3, 15)),
+    ("sievewell.community.ff", (), ((5, None),), (), False, False, ("board",), (3, 99)),
+    ("sievewell.jurisdiction.aa", ("trust_and_safety", "legal_review", "cultural_review"), ((4, 4),), ("QUOTED_SPEECH_CONTEXT", "NEWS_CONTEXT", "EDUCATION_CONTEXT", "COUNTERSPEECH_CONTEXT"), False, False, ("court",), ()),
+    ("sievewell.jurisdiction.bb", ("legal_review",), ((4, 5), (16, 1)), ("NEWS_CONTEXT",), True, False, ("",), ()),
+    ("sievewell.community.cc", (), ((5, 2),), (), False, True, (), ()),
+    ("other.dd", ("trust_and_safety",), ((3, 4),), (), False, False, (), ()),
 )
 VERSIONS = (
     (1, "s1", "1.0.0", "2026-01-01", "2026-05-01"), (2, "s1", "1.1.0", "2026-02-01", "2026-06-01"), (3, "s1", "1.10.0", "2026-02-01", "2026-06-10"), (4, "s1", "1.2.0", "2025-12-01", "2026-04-01"), (5, "s1", "1.1.0", "2026-03-01", "2026-06-14"),
@@ -36,10 +40,11 @@ SECTIONS = tuple((m, i, f"[{m}] " + "rule text " * n) for m, n in (("short", 4),
 ARTEFACTS = (("a1", "m1", "AB12", (("m1", "ab12"), ("m2", "ff"))), ("a2", "m1", "ab12", (("m1", "cd"), ("m2", "ab12"))), ("a3", "m2", "00", (("m2", None),)), ("a4", "m1", "00", ()))
 MANIFESTS = (("one", "[INSTRUCTION]\nBe  brief.\n[RULES]\ncat 1: [floor] 5\ncat 2\n[OUTPUT]\n"), ("two", "[RULES]\nnone"))
 PRIVACY = (("p1", "no text leaves"), ("p2", "no ids"), ("p3", "no hashes"))
+OVERLAY_PRIVACY = (("p2", "no ids"), ("p3", "some hashes"), ("p9", "own"))
 RULE = "layer string, block string, category int, floor int, action string"
 VERSION = "seq int, skill_id string, version string, signed_on string, expires_on string"
 PASSPORT = "skill_id string, version string, model_id string, min_version string, signature_valid boolean, expires_on string"
-PACK = "skill_id string, signers array<string>, overrides array<struct<category:int,floor:int>>, contexts array<string>, has_taxonomy boolean, has_privacy boolean, provenance array<string>"
+PACK = "skill_id string, signers array<string>, overrides array<struct<category:int,floor:int>>, contexts array<string>, has_taxonomy boolean, has_privacy boolean, provenance array<string>, rule_categories array<int>"
 
 
 def _rows(spark, rows, schema: str, *dates: str):
@@ -71,7 +76,7 @@ QUERIES = {
     "manifest_tokens": _q(lambda s: packs.manifest_tokens(_rows(s, SECTIONS, "manifest string, place int, text string"))),
     "manifest_sections": _q(lambda s: packs.sections(_rows(s, MANIFESTS, "manifest string, text string"))),
     "pack_checksums": _q(lambda s: packs.checksums_agree(s.createDataFrame([(a, m, x, [tuple(e) for e in es]) for a, m, x, es in ARTEFACTS], "skill_id string, model_id string, sha256 string, entries array<struct<model_id:string,sha256:string>>"))),
-    "privacy_intact": _q(lambda s: packs.privacy_intact(_rows(s, PRIVACY, "rule_id string, rule string"), _rows(s, (("p2", "no ids"), ("p3", "some hashes"), ("p9", "own")), "rule_id string, rule string"))),
+    "privacy_intact": _q(lambda s: packs.privacy_intact(_rows(s, PRIVACY, "rule_id string, rule string"), _rows(s, OVERLAY_PRIVACY, "rule_id string, rule string"))),
     "pack_history": _q(_kept),
     "pack_rollback": _q(lambda s: packs.rollback(_kept(s))),
     "pack_active": _q(lambda s: _kept(s).filter("is_active").select("skill_id", "version")),
@@ -93,7 +98,7 @@ def _sql(x) -> str:
     if isinstance(x, int):
         return str(x)
     if isinstance(x, tuple):
-        inner = ", ".join(f"{{'category': {e[0]}, 'floor': {e[1]}}}" if isinstance(e, tuple) else _sql(e) for e in x)
+        inner = ", ".join(f"{{'category': {_sql(e[0])}, 'floor': {_sql(e[1])}}}" if isinstance(e, tuple) else _sql(e) for e in x)
         return f"[{inner}]"
     return "'" + x.replace("'", "''") + "'"
 
@@ -106,12 +111,14 @@ def _table(name: str, schema: str, rows) -> str:
 _LEVEL = "list_position(['baseline', 'jurisdiction', 'community'], layer)"
 _RANK = "coalesce(list_position(['label_only', 'warn', 'strong_warn', 'block', 'critical_intervention'], act), 0)"
 _RESOLVED = f"""WITH {_table('rules', RULE, RULES)}, acts AS (
-  SELECT *, coalesce(action, CASE WHEN block = 'rules' THEN 'warn' WHEN floor >= 5 THEN 'critical_intervention' WHEN floor = 4 THEN 'strong_warn' WHEN floor = 3 THEN 'warn' ELSE 'label_only' END) AS act FROM rules
+  SELECT *, CASE WHEN block = 'rules' THEN coalesce(action, 'warn') WHEN floor = 5 THEN 'critical_intervention' WHEN floor = 4 THEN 'strong_warn' WHEN floor = 3 THEN 'warn' ELSE 'label_only' END AS act
+  FROM rules WHERE layer IN ('jurisdiction', 'community') AND category <> 1
 ), best AS (
-  SELECT category, max(coalesce(floor, 0)) AS floor, max({{'rank': {_RANK}, 'act': act}}).act AS act, max(CASE WHEN block = 'rules' THEN {{'l': {_LEVEL}, 'layer': layer}} END).layer AS own, min({{'l': {_LEVEL}, 'layer': layer}}).layer AS first
+  SELECT category, max(CASE WHEN block = 'rules' THEN 0 ELSE coalesce(floor, 0) END) AS floor, max({{'r': {_RANK}, 'act': act}}) AS top, max(CASE WHEN block = 'rules' THEN {{'l': {_LEVEL}, 'layer': layer}} END).layer AS own, min({{'l': {_LEVEL}, 'layer': layer}}).layer AS first, count(*) AS n
   FROM acts GROUP BY category
 ), resolved AS (
-  SELECT category, CASE WHEN category = 1 THEN 5 ELSE floor END::INTEGER AS severity_floor, CASE WHEN category = 1 THEN 'critical_intervention' ELSE act END AS action, CASE WHEN category = 1 THEN 'baseline' ELSE coalesce(own, first) END AS source FROM best
+  SELECT category, floor::INTEGER AS severity_floor, CASE WHEN n > 1 AND top.r = 0 THEN 'label_only' ELSE top.act END AS action, coalesce(own, first) AS source FROM best
+  UNION ALL SELECT 1, 5, 'critical_intervention', 'baseline'
 )"""
 _KEY = "list_transform(string_split({}, '.'), lambda x: coalesce(TRY_CAST(regexp_extract(x, '^\\d+') AS INTEGER), 0))"
 _HISTORY = f"""WITH {_table('given', VERSION, VERSIONS)}, once AS (
@@ -120,27 +127,32 @@ _HISTORY = f"""WITH {_table('given', VERSION, VERSIONS)}, once AS (
   SELECT *, place = 1 AS is_active FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY signed_on DESC, {_KEY.format('version')} DESC)::INTEGER AS place FROM once) WHERE place <= 3
 )"""
 _PASS = f"WITH {_table('passports', PASSPORT, PASSPORTS)}, {_table('revoked', 'skill_id string, version string, revoked_on string, reason string', REVOKED)}, {_table('runtime', 'model_id string, runtime_version string', RUNTIME)}"
-_FULL = lambda c: f"list_concat({_KEY.format(c)}, [0, 0, 0, 0])[1:4]"
+_LONGER = f"greatest(len({_KEY.format('runtime_version')}), len({_KEY.format('min_version')}))"
+_FULL = lambda c: f"list_resize({_KEY.format(c)}, {_LONGER}, 0)"
 _FITS = f"{_FULL('runtime_version')} >= {_FULL('min_version')}"
 _D = f"DATE '{TODAY}'"
-_COLS = "skill_id, signers, overrides, contexts, has_taxonomy, has_privacy, provenance"
-_PACKS = "WITH packs AS (" + " UNION ALL ".join("SELECT " + ", ".join(f"{_sql(v)}{t} AS {c}" for v, t, c in zip(r, ("", "::VARCHAR[]", "::STRUCT(category INTEGER, floor INTEGER)[]", "::VARCHAR[]", "", "", "::VARCHAR[]"), _COLS.split(", "), strict=True)) for r in PACKS) + "), kinds AS (SELECT *, CASE WHEN starts_with(skill_id, 'sievewell.baseline.') THEN 'baseline' WHEN starts_with(skill_id, 'sievewell.jurisdiction.') THEN 'jurisdiction' WHEN starts_with(skill_id, 'sievewell.community.') THEN 'community' END AS kind FROM packs)"
-_LACKS = "len(list_filter({}, lambda x: NOT list_contains({}, x))) > 0"
-_SIGN = " OR ".join(f"kind = '{k}' AND {_LACKS.format(_sql(v), 'signers')}" for k, v in packs.SIGNERS.items())
-_BROKEN = f"""list_filter([CASE WHEN kind IS NULL THEN 'UNKNOWN_KIND' END, CASE WHEN len(list_filter(overrides, lambda o: o.category NOT BETWEEN 0 AND 15)) > 0 THEN 'CATEGORY_RANGE' END,
+_COLS = "skill_id, signers, overrides, contexts, has_taxonomy, has_privacy, provenance, rule_categories"
+_PACKS = "WITH packs AS (" + " UNION ALL ".join("SELECT " + ", ".join(f"{_sql(v)}{t} AS {c}" for v, t, c in zip(r, ("", "::VARCHAR[]", "::STRUCT(category INTEGER, floor INTEGER)[]", "::VARCHAR[]", "", "", "::VARCHAR[]", "::INTEGER[]"), _COLS.split(", "), strict=True)) for r in PACKS) + "), kinds AS (SELECT *, CASE WHEN starts_with(skill_id, 'sievewell.baseline.') THEN 'baseline' WHEN starts_with(skill_id, 'sievewell.jurisdiction.') THEN 'jurisdiction' WHEN starts_with(skill_id, 'sievewell.community.') THEN 'community' END AS kind FROM packs)"
+_SIGN = "kind = 'jurisdiction' AND NOT list_has_all(signers, ['legal_review', 'cultural_review']) OR kind = 'community' AND NOT list_contains(signers, 'trust_and_safety')"
+_BROKEN = f"""list_filter([CASE WHEN kind IS NULL THEN 'UNKNOWN_KIND' END, CASE WHEN len(list_filter(list_concat(list_transform(overrides, lambda o: o.category), rule_categories), lambda c: c IS NULL OR c NOT BETWEEN 0 AND 15)) > 0 THEN 'CATEGORY_RANGE' END,
   CASE WHEN kind <> 'baseline' AND has_taxonomy THEN 'OWN_TAXONOMY' END, CASE WHEN {_SIGN} THEN 'SIGNER_MISSING' END,
-  CASE WHEN kind <> 'baseline' AND len(list_filter(overrides, lambda o: o.floor >= 4)) > 0 AND {_LACKS.format(_sql(packs.CONTEXTS), 'contexts')} THEN 'CONTEXTS_MISSING' END,
-  CASE WHEN kind <> 'baseline' AND has_privacy THEN 'PRIVACY_IN_OVERLAY' END, CASE WHEN list_contains(provenance, '') THEN 'LEXICON_PROVENANCE' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN len(list_filter(overrides, lambda o: o.floor >= 4)) > 0 AND NOT list_has_all(contexts, ['QUOTED_SPEECH_CONTEXT', 'NEWS_CONTEXT', 'EDUCATION_CONTEXT', 'COUNTERSPEECH_CONTEXT']) THEN 'CONTEXTS_MISSING' END,
+  CASE WHEN kind <> 'baseline' AND has_privacy THEN 'PRIVACY_IN_OVERLAY' END, CASE WHEN list_contains(provenance, '') OR len(provenance) > 0 AND len(signers) = 0 THEN 'LEXICON_PROVENANCE' END], lambda x: x IS NOT NULL)"""
 ORACLES = {
     "resolve_rules": f"{_RESOLVED} SELECT * FROM resolved",
     "taxonomy_join": f"{_RESOLVED} SELECT category, coalesce({_sql(TAXONOMY[:15])}[category + 1], 'CAT_' || category) AS name FROM resolved",
-    "allowed_contexts": "SELECT * FROM (VALUES ('b1', 'QUOTED_SPEECH_CONTEXT,NEWS_CONTEXT,EDUCATION_CONTEXT'), ('b2', 'NEWS_CONTEXT')) AS v(bundle, contexts)",
+    "allowed_contexts": f"""WITH {_table('layers', 'bundle string, layer string, contexts array<string>', LAYERS)}, each AS (
+      SELECT bundle, {_LEVEL} AS l, unnest(contexts) AS c, unnest(range(len(contexts))) AS i FROM layers
+    ), first AS (SELECT bundle, c, min({{'l': l, 'i': i}}) AS place FROM each GROUP BY bundle, c)
+    SELECT bundle, coalesce(string_agg(c, ',' ORDER BY place) FILTER (c IS NOT NULL), '') AS contexts FROM (SELECT DISTINCT bundle FROM layers) LEFT JOIN first USING (bundle) GROUP BY bundle""",
     "pack_violations": f"{_PACKS} SELECT skill_id, unnest({_BROKEN}) AS rule FROM kinds",
     "pack_kinds": f"{_PACKS} SELECT skill_id, kind FROM kinds",
     "manifest_tokens": f"WITH {_table('sections', 'manifest string, place int, text string', SECTIONS)} SELECT manifest, tokens, tokens <= 1800 AS fits FROM (SELECT manifest, ceil(length(string_agg(text, chr(10) ORDER BY place)) / 4)::BIGINT AS tokens FROM sections GROUP BY manifest)",
-    "manifest_sections": "SELECT * FROM (VALUES ('one', 'INSTRUCTION', 'Be brief.'), ('one', 'RULES', 'cat 1: [floor] 5 cat 2'), ('one', 'OUTPUT', ''), ('two', 'RULES', 'none')) AS v(manifest, section, text)",
-    "pack_checksums": "SELECT * FROM (VALUES ('a1', true), ('a2', false), ('a3', true), ('a4', false)) AS v(skill_id, agree)",
-    "privacy_intact": f"WITH {_table('p', 'rule_id string, rule string', PRIVACY)} SELECT rule_id, 'some hashes' AS overlay, rule AS baseline FROM p WHERE rule_id = 'p3'",
+    "manifest_sections": f"""WITH {_table('given', 'manifest string, text string', MANIFESTS)}, cut AS (SELECT manifest, unnest(string_split_regex(text, '(?m)^\\[')) AS part FROM given)
+    SELECT manifest, regexp_extract(part, '^([A-Z_]+)\\]', 1) AS section, trim(regexp_replace(regexp_replace(part, '^[A-Z_]+\\]', ''), '\\s+', ' ', 'g')) AS text FROM cut WHERE trim(part) <> ''""",
+    "pack_checksums": f"""WITH {_table('a', 'skill_id string, model_id string, sha256 string', [r[:3] for r in ARTEFACTS])}, {_table('e', 'skill_id string, model_id string, sha256 string', [(r[0], *e) for r in ARTEFACTS for e in r[3]])}
+    SELECT a.skill_id, count(e.skill_id) > 0 AS agree FROM a LEFT JOIN e ON e.skill_id = a.skill_id AND e.model_id = a.model_id AND (e.sha256 IS NULL OR lower(e.sha256) = lower(a.sha256)) GROUP BY a.skill_id""",
+    "privacy_intact": f"WITH {_table('p', 'rule_id string, rule string', PRIVACY)}, {_table('o', 'rule_id string, rule string', OVERLAY_PRIVACY)} SELECT o.rule_id, o.rule AS overlay, p.rule AS baseline FROM o LEFT JOIN p ON p.rule_id = o.rule_id",
     "pack_history": f"{_HISTORY} SELECT skill_id, version, signed_on, expires_on, place, is_active FROM history",
     "pack_rollback": f"{_HISTORY} SELECT skill_id, version FROM history WHERE place = 2",
     "pack_active": f"{_HISTORY} SELECT skill_id, version FROM history WHERE is_active",

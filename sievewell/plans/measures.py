@@ -233,9 +233,9 @@ ORACLES = {
     "case_results": f"WITH {CASES} SELECT case_id, expected, predicted, correct FROM cases",
     "class_histogram": f"WITH {CASES} SELECT expected, count(*) AS n FROM cases GROUP BY expected",
     "per_class_accuracy": f"WITH {CASES} SELECT expected, {_MEAN.format('correct')} AS accuracy FROM cases GROUP BY expected",
-    "parse_window": """SELECT n_nationkey, spec, CASE WHEN regexp_matches(spec, '^\\d+[smhdSMHD]?$') THEN regexp_extract(spec, '^\\d+')::BIGINT * CASE lower(right(spec, 1)) WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 ELSE 1 END END AS seconds
+    "parse_window": """SELECT n_nationkey, spec, CASE WHEN regexp_matches(spec, '^\\d+[smhdSMHD]$') THEN TRY_CAST(regexp_extract(spec, '^\\d+') AS BIGINT) * CASE lower(right(spec, 1)) WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 ELSE 1 END END AS seconds
       FROM (SELECT n_nationkey, ['90', '45s', '30M', '24h', '7D', '-5', '1w', 'x', '', '1.5h'][n_nationkey % 10 + 1] AS spec FROM nation)""",
-    "counter_batches": "WITH u AS (SELECT event_id // 4 AS batch_id, user_id AS group_id, CASE WHEN event_id % 17 <> 0 THEN event_type END AS counter_id, event_id % 5 - 1 AS delta FROM events) SELECT group_id, counter_id, sum(delta)::BIGINT AS count FROM u WHERE batch_id NOT IN (SELECT batch_id FROM u WHERE counter_id IS NULL OR group_id IS NULL OR delta IS NULL) GROUP BY ALL",
+    "counter_batches": "WITH u AS (SELECT event_id // 4 AS batch_id, user_id AS group_id, CASE WHEN event_id % 17 <> 0 THEN event_type END AS counter_id, event_id % 5 - 1 AS delta FROM events) SELECT group_id, counter_id, sum(delta)::BIGINT AS count FROM u WHERE batch_id NOT IN (SELECT batch_id FROM u WHERE coalesce(counter_id, '') = '' OR group_id IS NULL OR delta IS NULL) GROUP BY ALL",
     "counter_asof": f"{_COUNTS} SELECT * FROM counts",
     "counter_trailing": f"WITH {FACTS} SELECT event_id, sum(delta) OVER (PARTITION BY group_id, counter_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)::BIGINT AS count FROM facts",
     "counter_label": f"{_COUNTS} SELECT group_id, counter_id, CASE WHEN count >= 40 THEN 'escalate_at' WHEN count >= 20 THEN 'strong_label_at' WHEN count >= 5 THEN 'label_at' END AS label FROM counts",

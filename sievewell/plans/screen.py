@@ -237,7 +237,7 @@ _GRID = f"""{MESSAGES}, given AS (
     CASE msg_id % {len(CODES)} {" ".join(f"WHEN {i} THEN {_list(xs, lit)}::VARCHAR[]" for i, xs in enumerate(CODES))} END AS codes, 'given_v1' AS rationale_id, 'link_v1' AS resource_link_id FROM messages
 ), """ + _policy("given", "CASE WHEN list_contains(codes, 'NEWS_CONTEXT') THEN CASE WHEN msg_id % 3 = 0 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0::DOUBLE END")
 FLAGGED = "(category <> 0 OR act <> '')"
-_INV = lit(text.INVISIBLE)
+_INV = lit(r"[\x{AD}\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FE00}-\x{FE0F}\x{FEFF}\x{E0000}-\x{E007F}]")
 ORACLES = {
     "flagship": f"WITH {POLICY} SELECT lang, category, actions, count(*) AS n FROM (SELECT lang, {_OUT} FROM policy) GROUP BY ALL",
     "normalize_text": f"WITH {SIGNALS} SELECT msg_id, md5(norm) AS norm_md5 FROM normed",
