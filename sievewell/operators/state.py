@@ -67,6 +67,13 @@ def split_appeals(appeals: DataFrame) -> tuple[DataFrame, DataFrame]:
     return appeals.filter(good), appeals.filter(~good)
 
 
+def recent(appeals: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Appeals of the last `days` days before `now`, the bound included, and later ones. Without a time none is."""
+    if days < 1:
+        raise ValueError("a window has one day or more")
+    return appeals.filter(F.unix_micros(F.col("ts").cast("timestamp")) >= F.unix_micros(now.cast("timestamp")) - days * 86_400_000_000)
+
+
 def first_of_each(appeals: DataFrame) -> DataFrame:
     """The earliest appeal of each id; later ones are rejected."""
     order = Window.partitionBy("appeal_id").orderBy("ts", "rationale_id")

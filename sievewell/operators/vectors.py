@@ -37,6 +37,22 @@ def scores(vectors: DataFrame, protos: DataFrame) -> DataFrame:
     return cos.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(own)).drop("e")
 
 
+def head_scores(vectors: DataFrame, heads: DataFrame) -> DataFrame:
+    """vec_id, label_id, logit and p of each row, by a linear head of (label, weights, bias) rows, a checked number of labels.
+
+    The head is one row, and a vector's softmax is within its own row: nothing is shuffled. A null vector has null scores;
+    rows with equal ids are scored each by itself."""
+    if (n := heads.count()) > MOST_PROTOTYPES:
+        raise ValueError(f"{n} labels; {MOST_PROTOTYPES} are broadcast at most")
+    packed = heads.agg(F.sort_array(F.collect_list(F.struct("label", "weights", "bias"))).alias("_head"))
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    logits = F.transform("_head", lambda h: F.struct(h["label"].alias("label_id"), (dot(F.col("embedding"), h["weights"]) + h["bias"]).alias("logit")))
+    shifted = lambda of: let(F.array_max(F.transform(of, lambda x: x["logit"])), lambda most: F.transform(of, lambda x: F.struct(x["label_id"], x["logit"], F.exp(x["logit"] - most).alias("e"))))
+    shares = lambda of: let(F.aggregate(of, F.lit(0.0), lambda s, x: s + x["e"]), lambda total: F.transform(of, lambda x: F.struct(x["label_id"].alias("label_id"), x["logit"].alias("logit"), (x["e"] / total).alias("p"))))
+    every = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(packed))
+    return every.select("vec_id", F.inline(let(logits, lambda x: let(shifted(x), shares))))
+
+
 def verdicts(scored: DataFrame) -> DataFrame:
     """The best label of each vector; 0 (safe) where it is 0 or leads the second by less than MARGIN."""
     order = Window.partitionBy("vec_id").orderBy(F.desc("p"), "label_id")

@@ -90,6 +90,12 @@ def _good(spark, d):
     return state.split_appeals(appeals(spark, d))[0]
 
 
+def _recent(spark, d):
+    good = _good(spark, d)
+    placed = good.crossJoin(F.broadcast(good.agg(F.max("ts").alias("_now"))))  # one row
+    return state.recent(placed, F.col("_now"), 7).groupBy("skill_id", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _top_all(spark, d):
     good = _good(spark, d)
     parts = [state.top(good, c).withColumnRenamed(c, "value").withColumn("what", F.lit(c)) for c in ("rationale_id", "user_context")]
@@ -97,7 +103,11 @@ def _top_all(spark, d):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievewell-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sievewell-")
     here = f"{base.rstrip('/')}/counters-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern it may be one file or a folder
@@ -127,6 +137,13 @@ def _scores(spark, d):
     return vectors.scores(v, vectors.prototypes(v))
 
 
+def _head(spark, d):
+    """A head whose weights are the prototypes."""
+    v = _vectors(spark, d)
+    heads = vectors.prototypes(v).select("label", F.col("prototype").alias("weights"), (F.col("label") / 100).alias("bias"))
+    return vectors.head_scores(v, heads).select("vec_id", "label_id", *_r("logit", "p"))
+
+
 _c = lambda f: lambda spark, d: f(cases(spark, d))
 _r = lambda *cols: [F.round(c, 6).alias(c) for c in cols]
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,12 +182,14 @@ QUERIES = {
     "counter_label": lambda s, d: state.as_of(facts(s, d), _now(), WEEK).select("group_id", "counter_id", state.label(F.col("count"), THRESHOLDS).alias("label")),
     "counter_expire": lambda s, d: state.expire(facts(s, d), _now(), WEEK).select("event_id", _ntz("ts")),
     "counter_stream": _stream,
+    "appeal_recent": _recent,
     "appeal_rates": lambda s, d: state.appeal_rates(_good(s, d)).select("skill_id", "category", "n", *_r("share")),
     "appeal_topk": _top_all,
     "appeal_recommendation": lambda s, d: state.recommendation(state.appeal_rates(_good(s, d))),
     "appeal_dedup": lambda s, d: state.first_of_each(_good(s, d)).select("appeal_id", _ntz("ts"), "rationale_id"),
     "appeal_quarantine": lambda s, d: state.split_appeals(appeals(s, d))[1].select("appeal_id", "category", "severity", "user_context", _ntz("ts")),
     "appeal_skills": lambda s, d: _good(s, d).select("skill_id").distinct(),
+    "head_scores": _head,
     "prototype_scores": lambda s, d: _scores(s, d).select("vec_id", "label_id", *_r("cosine")),
     "embedding_verdict": lambda s, d: vectors.verdicts(_scores(s, d)).select("vec_id", "category", "severity", F.round("confidence", 4).alias("confidence")),
     "embedding_agreement": lambda s, d: vectors.agreement(_vectors(s, d).withColumn("coarse", F.transform("embedding", lambda x: F.round(x.cast("double"), 2))), "embedding", "coarse").select(*_r("least", "mean", "most"), "passed"),
@@ -241,12 +260,16 @@ ORACLES = {
     "counter_label": f"{_COUNTS} SELECT group_id, counter_id, CASE WHEN count >= 40 THEN 'escalate_at' WHEN count >= 20 THEN 'strong_label_at' WHEN count >= 5 THEN 'label_at' END AS label FROM counts",
     "counter_expire": f"WITH {FACTS} SELECT event_id, ts FROM facts WHERE {_LIVE}",
     "counter_stream": f"WITH {FACTS} SELECT group_id, counter_id, date_trunc('day', ts)::TIMESTAMP AS start, sum(delta)::BIGINT AS count FROM facts GROUP BY ALL",
+    "appeal_recent": f"WITH {APPEALS} SELECT skill_id, category, count(*) AS n FROM good WHERE ts >= (SELECT max(ts) FROM good) - INTERVAL 7 DAY GROUP BY ALL",
     "appeal_rates": f"{_SHARES} SELECT skill_id, category, n, round(share, 6) AS share FROM shares",
     "appeal_topk": f"WITH {APPEALS} {_TOP('rationale_id')} UNION ALL {_TOP('user_context')}",
     "appeal_recommendation": f"{_SHARES} SELECT skill_id, ['no_action', 'review_suggested', 'urgent_review'][max(CASE WHEN category = 1 THEN 3 WHEN n >= 5 AND share >= 0.15 THEN 3 WHEN n >= 5 AND share >= 0.05 THEN 2 ELSE 1 END)] AS recommendation FROM shares GROUP BY skill_id",
     "appeal_dedup": f"WITH {APPEALS} SELECT appeal_id, ts, rationale_id FROM good QUALIFY row_number() OVER (PARTITION BY appeal_id ORDER BY ts, rationale_id) = 1",
     "appeal_quarantine": f"WITH {APPEALS} SELECT appeal_id, category, severity, user_context, ts FROM appeals WHERE NOT (category BETWEEN 0 AND 15 AND severity BETWEEN 0 AND 5 AND user_context <> 'unknown')",
     "appeal_skills": f"WITH {APPEALS} SELECT DISTINCT skill_id FROM good",
+    "head_scores": f"""{_VEC}, z AS (SELECT s.vec_id, s.label_id, s.cosine * sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) + s.label_id / 100.0 AS logit FROM s JOIN embeddings e ON e.vec_id = s.vec_id),
+      x AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM z)
+      SELECT vec_id, label_id, round(logit, 6) AS logit, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM x""",
     "prototype_scores": f"{_VEC} SELECT vec_id, label_id, round(cosine, 6) AS cosine FROM s",
     "embedding_verdict": f"""{_VEC}, r AS (SELECT vec_id, label_id, p, lead(p) OVER w AS second, row_number() OVER w AS place FROM q WINDOW w AS (PARTITION BY vec_id ORDER BY p DESC, label_id)),
       f AS (SELECT *, label_id = 0 OR p - coalesce(second, 0) < 0.1::DOUBLE AS safe FROM r WHERE place = 1)

@@ -203,3 +203,29 @@ def test_any_privacy_rule_of_an_overlay_is_reported(spark):
     base, over = (spark.createDataFrame(x, "rule_id string, rule string") for x in ([("p1", "a"), ("p2", "b")], [("p2", "b"), ("p9", "new")]))
     assert sorted(map(tuple, packs.privacy_intact(base, over).collect())) == [("p2", "b", "b"), ("p9", "new", None)]
     assert packs.privacy_intact(base, over.filter("false")).count() == 0
+
+
+def test_recent_appeals_include_the_bound(spark):
+    rows = [(1, "2024-01-08 00:00:00"), (2, "2024-01-01 00:00:00"), (3, "2023-12-31 23:59:59.999999"), (4, None), (5, "2024-02-01 00:00:00")]
+    df = spark.createDataFrame(rows, "i int, t string").withColumn("ts", F.to_timestamp("t"))
+    now = F.to_timestamp(F.lit("2024-01-08 00:00:00"))
+    assert sorted(r["i"] for r in state.recent(df, now, 7).collect()) == [1, 2, 5]
+    with pytest.raises(ValueError):
+        state.recent(df, now, 0)
+
+
+def test_head_scores_are_a_softmax(spark):
+    import numpy as np
+
+    from sievewell.operators import vectors
+
+    heads = [(0, [1.0, 0.5], 0.1), (1, [-2.0, 3.0], -0.2), (2, [0.0, 900.0], 0.0)]
+    rows = [(1, [0.3, 0.2]), (1, [1.0, -1.0]), (2, [0.0, 0.0]), (3, None)]
+    got = vectors.head_scores(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), spark.createDataFrame(heads, "label int, weights array<double>, bias double"))
+    want = []
+    for i, v in rows[:3]:
+        z = np.array([np.dot(v, w) + b for _, w, b in heads])
+        e = np.exp(z - z.max())
+        want += [(i, k, round(float(z[k]), 9), round(float(e[k] / e.sum()), 9)) for k in range(3)]
+    assert sorted((r["vec_id"], r["label_id"], round(r["logit"], 9), round(r["p"], 9)) for r in got.collect() if r["vec_id"] < 3) == sorted(want)
+    assert all(r["p"] is None for r in got.filter("vec_id = 3").collect())
