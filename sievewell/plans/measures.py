@@ -268,8 +268,8 @@ ORACLES = {
     "appeal_quarantine": f"WITH {APPEALS} SELECT appeal_id, category, severity, user_context, ts FROM appeals WHERE NOT (category BETWEEN 0 AND 15 AND severity BETWEEN 0 AND 5 AND user_context <> 'unknown')",
     "appeal_skills": f"WITH {APPEALS} SELECT DISTINCT skill_id FROM good",
     "head_scores": f"""{_VEC}, z AS (SELECT s.vec_id, s.label_id, s.cosine * sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) + s.label_id / 100.0 AS logit FROM s JOIN embeddings e ON e.vec_id = s.vec_id),
-      x AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM z)
-      SELECT vec_id, label_id, round(logit, 6) AS logit, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM x""",
+      f AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM z)
+      SELECT vec_id, label_id, round(logit, 6) AS logit, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM f""",
     "prototype_scores": f"{_VEC} SELECT vec_id, label_id, round(cosine, 6) AS cosine FROM s",
     "embedding_verdict": f"""{_VEC}, r AS (SELECT vec_id, label_id, p, lead(p) OVER w AS second, row_number() OVER w AS place FROM q WINDOW w AS (PARTITION BY vec_id ORDER BY p DESC, label_id)),
       f AS (SELECT *, label_id = 0 OR p - coalesce(second, 0) < 0.1::DOUBLE AS safe FROM r WHERE place = 1)
