@@ -17,6 +17,7 @@ the page has no such end tag at all, at the next block. Formulas are text, their
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -54,22 +55,28 @@ class Tree:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.names, self.pieces = ["html"], [-1], [()], []
-        open_, link, skip, at = [0], False, None, 0
-        head, inner, lone, last = False, [], False, {}
-        for m in _TAG.finditer(html):
-            if m.start() < at:
-                continue
+        open_, depth, link, skip, at = [0], Counter(["html"]), False, None, 0
+        head, body, inner, lone, last = False, False, [], False, {}
+        ends = html.rfind(">") + 1  # no tag ends behind it, so none is looked for there
+        if (comment := html.find("<!--", ends)) >= 0:
+            html = html[:comment]
+
+        def close(place: int) -> None:
+            depth.subtract(self.tag[x] for x in open_[place:])
+            del open_[place:]
+
+        while m := _TAG.search(html, at, ends):
             if head and html[at : m.start()].strip():
                 head = False
             if skip is None and not head and m.start() > at:
                 self.pieces.append((open_[-1], html[at : m.start()], link))
-            at = m.end()
+            at = len(html) if m[0].startswith("<!--") and m.end() == ends and not m[0].endswith("-->") else m.end()
             end, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if name is None:
                 continue
             name = name.lower()
             if name == "head":
-                head = not end and "body" not in self.tag
+                head = not end and not body
                 continue
             if name not in IN_HEAD and not (end and name not in ("body", "html")):
                 head = False
@@ -77,7 +84,7 @@ class Tree:
                 closed = attrs.endswith("/")
                 if name in RAW:
                     if not end and not closed:
-                        stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                        stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at, ends)
                         at = stop.end() if stop else len(html)
                     continue
                 if name != skip and name not in _IS_BLOCK:
@@ -89,13 +96,13 @@ class Tree:
                 if end and name == skip:
                     skip = None
                     continue
-                if not (lone and name in _IS_BLOCK or end and any(self.tag[i] == name for i in open_)):
+                if not (lone and name in _IS_BLOCK or end and depth[name] > 0):
                     if not end and not closed:
                         inner.append(name)
                     continue
                 skip = None
             if name in RAW and not end:
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at, ends)
                 if name == "textarea":
                     self.pieces.append((open_[-1], None, False))
                 at = stop.end() if stop else len(html)
@@ -112,22 +119,21 @@ class Tree:
                     if name == "hr":
                         self.pieces.append((open_[-1], None, False))
             elif end:
-                for i in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[i]] == name:
-                        del open_[i:]
-                        link = False
-                        break
+                if depth[name] > 0 and name != "html":
+                    close(next(i for i in range(len(open_) - 1, 0, -1) if self.tag[open_[i]] == name))
+                    link = False
                 self.pieces.append((open_[-1], None, False))
-            elif name == "html" or name == "body" and "body" in self.tag:
+            elif name == "html" or name == "body" and body:
                 pass
             else:
                 if self.tag[open_[-1]] == "p":
-                    open_.pop()
+                    close(-1)
                 closes = CLOSES.get(name, ())
                 while closes and len(open_) > 1 and self.tag[open_[-1]] not in HOLDS:
-                    if any(self.tag[i] in closes for i in open_[1:][-4:]):
-                        last = self.tag[open_.pop()]
-                        if last in closes and self.tag[open_[-1]] not in closes:
+                    if any(self.tag[i] in closes for i in open_[max(1, len(open_) - 4) :]):
+                        closed = self.tag[open_[-1]]
+                        close(-1)
+                        if closed in closes and self.tag[open_[-1]] not in closes:
                             break
                     else:
                         break
@@ -136,6 +142,8 @@ class Tree:
                 found = " ".join(x.strip("\"'") for x in _NAME.findall(attrs)) if attrs else ""
                 self.names.append(tuple(t.lower() for t in _TOKEN.findall(found)))
                 open_.append(len(self.tag) - 1)
+                depth[name] += 1
+                body = body or name == "body"
                 link = False
                 self.pieces.append((open_[-1], None, False))
         if skip is None and at < len(html):

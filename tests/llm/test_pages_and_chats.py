@@ -58,6 +58,24 @@ def test_odd_pages(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_broken_markup_is_read_once_and_stops_nothing():
+    import time
+
+    import numpy as np
+
+    def text(html):
+        tree = htmltext.Tree(html)
+        return tree.text(np.full(len(tree.tag), htmltext.IN))
+
+    assert text("<ul><li>a<li>b</ul><svg><path></svg><p>c") == "a\nb\nc"
+    assert text('<script>x = "<!-- "</script><p>a</p><p>b</p>') == "a\nb"
+    assert text("<p>a</p><!-- never closed <p>b</p>") == text("<p>a</p><!-- never closed") == "a"
+    for html in ("<a " * 350000, "<a '" * 250000, "<div>" * 100000 + "</p>" * 100000, "<script>" + "</script " * 110000, "<p><head>" * 110000, "<li>x" * 200000):
+        began = time.time()
+        htmltext.Tree(html)
+        assert time.time() - began < 10
+
+
 def test_missing_end_tags_lose_no_text():
     import numpy as np
 
