@@ -179,7 +179,7 @@ def fit(docs: DataFrame, may_learn: Column, per_lang: int = 300, windows: int =
     spark = docs.sparkSession
     key = F.xxhash64("doc_id")
     # windows by language and salt first, so that no task gets all rows of a language
-    able = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id", key.alias("k"))
+    able = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id", key.alias("k")).distinct()
     for by in (["lang", F.pmod("k", F.lit(salts))], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*by).orderBy("k", "doc_id"))
         able = able.withColumn("place", place).filter(F.col("place") <= per_lang).drop("place")
@@ -199,8 +199,8 @@ def fit(docs: DataFrame, may_learn: Column, per_lang: int = 300, windows: int =
                     rows.append((doc, lang, int(i), got[i].tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "i", "bytes"])
 
-    rows = texts.mapInPandas(spread, "doc_id long, lang string, i int, bytes binary").toPandas()  # of a bounded sample
-    rows = rows.drop_duplicates(["doc_id", "lang", "i"]).sort_values(["doc_id", "lang", "i"])
+    once = texts.mapInPandas(spread, "doc_id long, lang string, i int, bytes binary").groupBy("doc_id", "lang", "i").agg(F.min("bytes").alias("bytes"))
+    rows = once.toPandas().sort_values(["doc_id", "lang", "i"])  # of a bounded sample, however often an id occurs
     if not len(rows):
         return Model((), {})
     data = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(-1, WINDOW)

@@ -151,8 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int =
             parts = [f.tobytes() for f in features(pdf["text"].tolist())]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "found": parts})
 
-    rows = texts.mapInPandas(counted, "doc_id long, quality int, found binary").toPandas()  # of a bounded sample, of FEATURES numbers at most each
-    rows = rows.sort_values(["doc_id", "found"]).drop_duplicates("doc_id")
+    once = texts.mapInPandas(counted, "doc_id long, quality int, found binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("found").alias("found"))
+    rows = once.toPandas().sort_values("doc_id")  # of a bounded sample, of FEATURES numbers at most each, however often an id occurs
     order = np.random.default_rng(5).permutation(len(rows))
     found = [np.frombuffer(rows["found"].iloc[i], np.int32) for i in order]
     return train(found, rows["quality"].to_numpy()[order] == 1)
