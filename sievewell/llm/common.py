@@ -7,6 +7,7 @@ import uuid
 from functools import lru_cache
 from weakref import WeakKeyDictionary
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = r"\x20\x09-\x0D"
+BITS = 1 << 28  # of a filter, at most
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,24 @@ def forget(*tables: DataFrame) -> None:
             there.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def bit_filter(values: DataFrame) -> np.ndarray:
+    """A filter of fixed size for the longs of a column: one bit each, of BITS bits at most. Its words are all that reaches the driver."""
+    name = values.columns[0]
+    bits = min(BITS, 1 << max(16, (16 * values.count()).bit_length()))
+    at = F.pmod(F.col(name), F.lit(bits))
+    words = values.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def held_by(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a filter may hold."""
+    at = values.astype(np.int64).view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def bind(value: Column, body) -> Column:
     """`body(value)` with `value` computed once per row, however often `body` names it."""
     return F.transform(F.array(value), body)[0]

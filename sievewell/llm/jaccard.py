@@ -39,13 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewell.llm.common import forget, small_batches, table, written
+from sievewell.llm.common import bit_filter, forget, held_by, small_batches, table, written
 from sievewell.llm.components import components
 from sievewell.llm.textarrays import by_bytes, mixed, shingle_sets
 
 BUCKETS = 1 << 17  # of the count sketch
 CELLS = 128  # of a signature, a byte each
-BITS = 1 << 28  # of a filter of shingles, classes or ids, at most
 LIST_COST = 8  # of a posting in an inverted list, in subset keys
 MOST_SMALL = 40
 
@@ -179,7 +178,7 @@ def _postings(docs: DataFrame, k: int, t: Threshold, order: np.ndarray, small: i
                     if only is None:
                         yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes)], ["token", "node"])
                         continue
-                    hit = _held(only, tokens)
+                    hit = held_by(only, tokens)
                     pos, indexed = (np.concatenate([g[i] for g in got]) for i in (1, 2))
                     columns = [tokens.view(np.int64), nodes, np.repeat(np.array(sizes, np.int32), each), pos.astype(np.int32), indexed]
                     yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns], ["token", "node", "n", "pos", "indexed"])
@@ -187,24 +186,6 @@ def _postings(docs: DataFrame, k: int, t: Threshold, order: np.ndarray, small: i
     return docs.select("text").mapInArrow(work, "token long, node long" + (", n int, pos int, indexed boolean" if only is not None else ""))
 
 
-def _filter(values: DataFrame) -> np.ndarray:
-    """A filter of fixed size for the longs of a column: one bit each, of BITS bits at most. Its words are all that reaches the driver."""
-    name = values.columns[0]
-    bits = min(BITS, 1 << max(16, (16 * values.count()).bit_length()))
-    at = F.pmod(F.col(name), F.lit(bits))
-    words = values.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{name}`, 64) as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values a filter may hold."""
-    at = values.astype(np.int64).view(np.uint64) & np.uint64(64 * len(bits) - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _plausible(pairs: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
     """The pairs (a, b) of classes without those that by their signatures differ in too many elements to be linked."""
     x, y = (classes.select(F.col("node").alias(a), F.col("n").alias(n), F.col("signature").alias(s)) for a, n, s in (("a", "n", "x"), ("b", "m", "y")))
@@ -227,7 +208,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t:
     """
     pairs = written(_plausible(pairs, classes, t), "jaccard-plausible")
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-wanted")
-    bits = _filter(wanted)
+    bits = bit_filter(wanted)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -235,7 +216,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, t:
             for _, texts in _text_slices(batch):
                 nodes, elements = [], []
                 for s in shingle_sets(texts, k):
-                    if len(s) and (node := _node(s)) not in seen and _held(bits, np.atleast_1d(node))[0]:
+                    if len(s) and (node := _node(s)) not in seen and held_by(bits, np.atleast_1d(node))[0]:
                         seen.add(node)
                         nodes.append(node)
                         elements.append(s.tobytes())
@@ -282,7 +263,7 @@ def _grouped(docs: DataFrame, k: int, t: Threshold) -> tuple[DataFrame, DataFram
 
     held = _postings(docs, k, t, order, small).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = written(held.filter("lo < hi").select("token"), "jaccard-shared")
-    post = written(_postings(docs, k, t, order, small, _filter(shared)), "jaccard-postings")
+    post = written(_postings(docs, k, t, order, small, bit_filter(shared)), "jaccard-postings")
     forget(shared)
 
     at = F.struct("pos", "n", "node")
@@ -336,11 +317,11 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     by_key = rows.filter("n > 0").groupBy("id", "node").agg(F.count(F.lit(1)).alias("copies")).join(chosen, "node")
     keys = by_key.select("id", "node", "copies", (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays")).filter("copies > 1 OR NOT stays")
     keys = written(keys, "jaccard-keys")
-    bits = _filter(keys.select(F.xxhash64("id").alias("h")))
+    bits = bit_filter(keys.select(F.xxhash64("id").alias("h")))
 
     @F.arrow_udf("boolean")
     def named(hashes: pa.Array) -> pa.Array:
-        return pa.array(_held(bits, hashes.to_numpy(zero_copy_only=False)))
+        return pa.array(held_by(bits, hashes.to_numpy(zero_copy_only=False)))
 
     @F.arrow_udf("long")
     def node_of(texts: pa.Array) -> pa.Array:
