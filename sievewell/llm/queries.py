@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievewell.llm import chat, decontam, htmltext, jaccard, langid, licenses, lmscore, mixing, quality, rules
+from sievewell.llm import chat, decontam, divergence, htmltext, jaccard, langid, licenses, lmscore, mixing, packing, quality, rules, vectorcodes
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": rules.query,
     "op9_lm_scoring": lmscore.query,
     "op10_language_id": langid.query,
+    "op11_source_divergence": divergence.query,
+    "op12_vector_codes": vectorcodes.query,
+    "op13_packing": packing.query,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
@@ -23,4 +26,6 @@ ORACLES = {
     "op7_license_scans": licenses.ORACLE,
     "op8_quality_rules": rules.ORACLE,
     "op9_lm_scoring": lmscore.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_vector_codes": vectorcodes.ORACLE,
 }
