@@ -4,25 +4,28 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from sievewell.llm import packing
 
 
 @pytest.fixture(scope="module")
 def definition():
-    with open(packing.tokenizer_file()) as f:
-        return f.read()
+    return packing.vocabulary()
 
 
-@pytest.fixture(scope="module")
-def whole(definition):
-    from tokenizers import Tokenizer
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 
-    tokenizer = Tokenizer.from_str(definition)
-    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+@pytest.fixture(scope="module")
+def whole():
+    held = tokenizer()
+    return lambda text: held.encode(text or "", add_special_tokens=False).ids
 
 
 def padding(lengths, window):
@@ -79,25 +82,28 @@ def test_repeated_rows_one_hot_length_and_nothing(spark, definition):
 
 def test_slices_of_a_long_text(definition, whole, monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 50)
-    monkeypatch.setattr(packing, "MEMORY", 10)
     text = "some words, and  double spaces\n then lines \n\n of any length; don't stop here " * 20
-    assert np.frombuffer(b"".join(packing.Encoder(definition).slices(text)), "<u2").tolist() == whole(text)
+    assert np.frombuffer(b"".join(packing.Encoder(*definition).slices(text)), "<u2").tolist() == whole(text)
+
+
+_OWN, _THEIRS = packing.Encoder(*packing.vocabulary()), tokenizer()
+
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet="aB 1'.\n\té日 \u00a0\x1c\u2003", max_size=60), st.text(max_size=60)))
+def test_ids_are_those_of_the_tokenizers_library(text):
+    assert np.frombuffer(b"".join(_OWN.slices(text)), "<u2").tolist() == _THEIRS.encode(text, add_special_tokens=False).ids
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="aB 1'.\n\té日 ", max_size=60))
-def test_runs_join_to_the_whole(text):
-    from tests.llm.test_packing import _ENCODER
 
-    encoder, whole = _ENCODER()
-    assert np.frombuffer(b"".join(encoder.slices(text)), "<u2").tolist() == whole(text)
+def test_ids_of_all_the_documents_of_a_table(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, theirs in zip(texts, _THEIRS.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(b"".join(_OWN.slices(text)), "<u2").tolist() == theirs.ids
 
 
-def _ENCODER(held=[]):
-    if not held:
-        with open(packing.tokenizer_file()) as f:
-            held.append(packing.Encoder(f.read()))
-    return held[0], lambda t: held[0].tokenizer.encode(t, add_special_tokens=False).ids
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 300_000 + "a", "z" * 300_000, "日" * 100_000, "!" * 300_000], ids=["spaces", "lines", "letters", "han", "marks"])
+def test_long_runs(text):
+    assert np.frombuffer(b"".join(_OWN.slices(text)), "<u2").tolist() == _THEIRS.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=40, deadline=None)
