@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewell.llm import decontam, jaccard, langid, mixing, rules
-from sievewell.llm.common import table, written
+from sievewell.llm.common import forget, scratch, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix; of all tables written on the way, those of the last stage and its input are left."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}", stays=True)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from weakref import WeakKeyDictionary
 
@@ -49,12 +51,23 @@ def small_batches(rows: int = 1000, size: int = 16 << 20) -> None:
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[DataFrame]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what `written` made within, so nothing that is left may read it; `written(..., stays=True)` is not of it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        forget(*_scopes.pop())
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and read again after a lost executor.
 
-    Its shuffle files are deleted as soon as it is written; `forget` deletes the table itself."""
+    Its shuffle files are deleted as soon as it is written; `forget` deletes the table itself, and so does the end of a `scratch`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
@@ -65,6 +78,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    if _scopes and not stays:
+        _scopes[-1].append(out)
     return out
 
 

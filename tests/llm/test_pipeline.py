@@ -1,5 +1,6 @@
 """The pipeline's stages, each held against what it may keep of its own input."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -46,6 +47,20 @@ def test_run_is_its_stages(spark, tmp_path):
     got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not {100, 101, 102, 5} & set(got) and len(got) > 10
     assert all(0 < x["taken"] <= 2 * x["size"] for x in got.values())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    assert {x["doc_id"]: x for x in docs.collect()} == got
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    top = f"{spark.conf.get('spark.checkpoint.dir')}/sievewell/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(top)) - before}
+    assert left <= {"pipeline-decontamination", "mix-sizes", "mix-placed"}
 
 
 def test_stages_on_nothing(spark, tmp_path):
