@@ -61,8 +61,11 @@ EXPECT = f"""{CASES}, given AS (
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as counter facts."""
-    e = event_times(spark, sf_dir)
-    return e.select("event_id", F.col("user_id").alias("group_id"), F.col("event_type").alias("counter_id"), "ts", (F.col("event_id") % 5 - 1).alias("delta"))
+    return as_facts(event_times(spark, sf_dir))
+
+
+def as_facts(events: DataFrame) -> DataFrame:
+    return events.select("event_id", F.col("user_id").alias("group_id"), F.col("event_type").alias("counter_id"), "ts", (F.col("event_id") % 5 - 1).alias("delta"))
 
 
 FACTS = "facts AS (SELECT event_id, user_id AS group_id, event_type AS counter_id, ts, event_id % 5 - 1 AS delta FROM events)"
@@ -72,8 +75,12 @@ _ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
 
 
 def appeals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_appeals(event_times(spark, sf_dir))
+
+
+def as_appeals(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
-    return event_times(spark, sf_dir).select(
+    return events.select(
         (k % 7919).alias("appeal_id"), _pick(k, ("skill_a", "skill_b", "skill_c")).alias("skill_id"), F.when((F.col("user_id") % 3 == 0) & (k % 3 == 0), 1).otherwise(F.col("user_id") % 9 * 2).cast("int").alias("category"),
         (k % 7).cast("int").alias("severity"), F.concat(F.lit("rationale_"), (k % 13).cast("string")).alias("rationale_id"), _pick(F.col("user_id"), ("disagree", "out_of_context", "quoted_speech", "other", "unknown")).alias("user_context"), "ts")
 
@@ -123,9 +130,12 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _updates(spark, d):
-    e = table(spark, d, "events")
+    return as_updates(table(spark, d, "events"))
+
+
+def as_updates(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
-    return e.select("event_id", F.floor(k / 4).alias("batch_id"), F.col("user_id").alias("group_id"), F.when(k % 17 != 0, F.col("event_type")).alias("counter_id"), (k % 5 - 1).alias("delta"))
+    return events.select("event_id", F.floor(k / 4).alias("batch_id"), F.col("user_id").alias("group_id"), F.when(k % 17 != 0, F.col("event_type")).alias("counter_id"), (k % 5 - 1).alias("delta"))
 
 
 def _vectors(spark, d):
