@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: So many tokens become a literal array in the plan; more are joined in blocks of as many.
-LITERAL_TOKENS, BLOCK_TOKENS = 200, 5000
+#: So many tokens become literals of the plan; more are searched by an index, which is broadcast up to a number of tokens.
+LITERAL_TOKENS, GRAM, MOST_BROADCAST, SALTS = 200, 4, 500_000, 16
 
 
 @dataclass(frozen=True)
@@ -36,17 +36,66 @@ def lexicon_hits(text: Column, lexicons: Sequence[Lexicon]) -> Column:
     return F.filter(F.array(*entries), lambda h: h.isNotNull()) if entries else empty
 
 
-def lexicon_join(messages: DataFrame, lexicons: Sequence[Lexicon], id_col: str = "msg_id", text_col: str = "norm") -> DataFrame:
-    """(id, lexicon_id, category, weight, position) rows, for lexicons of any size.
+def _grams(text: Column, lengths: Sequence[int]) -> Column:
+    """The distinct runs of characters of the given lengths in a text."""
+
+    def runs(chars: Column) -> Column:
+        def of(q: int) -> Column:
+            return F.filter(F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, F.lit(q)), "")), lambda g: F.length(g) == q)
+
+        return F.array_distinct(F.flatten(F.array(*[of(q) for q in lengths])))
+
+    return F.transform(F.array(F.split(text, "")), runs)[0]  # the text is split once
 
-    Tokens go to the messages in blocks of BLOCK_TOKENS; a block is one broadcast of that bound.
-    """
-    spark = messages.sparkSession
+
+def token_table(spark, lexicons: Sequence[Lexicon]) -> DataFrame:
+    """(position, lexicon_id, category, weight, token) of lexicons, tokens in lower case."""
     rows = [(i, x.lexicon_id, x.category, float(x.weight), t) for i, x, tokens in _usable(lexicons) for t in tokens]
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK_TOKENS):
-        block = spark.createDataFrame(rows[at : at + BLOCK_TOKENS], "position int, lexicon_id string, category int, weight double, token string")
-        hits = messages.select(id_col, text_col).join(F.broadcast(block), F.contains(F.col(text_col), F.col("token")))
-        hits = hits.select(id_col, "lexicon_id", "category", "weight", "position")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+    return spark.createDataFrame(rows, "position int, lexicon_id string, category int, weight double, token string")
+
+
+def indexed(tokens: DataFrame, q: int = GRAM) -> DataFrame:
+    """The rows of a token table with `gram`, the token's q-gram that the fewest tokens have; the whole token if it is shorter."""
+    held = tokens.filter(F.length("token") > 0).withColumn("_q", F.least(F.length("token"), F.lit(q)))
+    grams = held.select("token", "_q").distinct().select("token", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(token) - _q + 1), i -> substring(token, i, _q))"))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(common, "gram").groupBy("token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return held.drop("_q").join(rarest, "token")
+
+
+def lexicon_search(messages: DataFrame, tokens: DataFrame, id_col: str = "msg_id", text_col: str = "norm", q: int = GRAM, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(id, lexicon_id, category, weight, position) of the lexicons found in normalized texts, for token tables of any size.
+
+    Each token is filed under its rarest q-gram, and the distinct q-grams of a text, each once, are joined to these
+    by equality; only where they meet is the text searched for the whole token. Up to `most_broadcast` tokens the
+    index goes to the texts, which are read once and not shuffled. Beyond, grams and index meet by gram and one of
+    SALTS salts, so that no gram is one task's, without the texts; these are joined again by id, of which every text has its own.
+
+    Null and empty texts and empty tokens give no rows; a lexicon is found once in a text. Rows with equal ids are one text
+    for a large token table, and found apart, then made one, for a small one."""
+    index = indexed(tokens, q)
+    lengths = sorted(r[0] for r in index.select(F.length("gram")).distinct().collect())  # q numbers at most
+    found = [id_col, "lexicon_id", "category", "weight", "position"]
+    if not lengths:
+        return messages.select(id_col).crossJoin(tokens.limit(0)).select(*found)
+    texts = messages.select(id_col, text_col).filter(F.length(text_col) > 0)
+    grams = texts.select(id_col, text_col, F.explode(_grams(F.col(text_col), lengths)).alias("gram"))
+    if index.limit(most_broadcast + 1).count() <= most_broadcast:
+        hits = grams.join(F.broadcast(index), "gram").filter(F.contains(F.col(text_col), F.col("token")))
+    else:
+        salted = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = grams.select(id_col, "gram", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("_salt")).join(salted, ["gram", "_salt"])
+        hits = met.join(texts, id_col).filter(F.contains(F.col(text_col), F.col("token")))
+    return hits.select(*found).distinct()
+
+
+def lexicon_join(messages: DataFrame, lexicons: Sequence[Lexicon], id_col: str = "msg_id", text_col: str = "norm") -> DataFrame:
+    """(id, lexicon_id, category, weight, position) rows: up to LITERAL_TOKENS tokens from literals of the plan, more by `lexicon_search`."""
+    if sum(len(tokens) for _, _, tokens in _usable(lexicons)) > LITERAL_TOKENS:
+        return lexicon_search(messages, token_table(messages.sparkSession, lexicons), id_col, text_col)
+    each = [F.struct(F.contains(F.col(text_col), F.lit(t)).alias("found"), F.lit(x.lexicon_id).alias("lexicon_id"), F.lit(x.category).alias("category"), F.lit(float(x.weight)).alias("weight"), F.lit(i).alias("position"))
+            for i, x, tokens in _usable(lexicons) for t in tokens]
+    if not each:
+        return lexicon_search(messages, token_table(messages.sparkSession, lexicons), id_col, text_col)
+    hits = messages.select(id_col, F.explode(F.array_distinct(F.filter(F.array(*each), lambda h: h["found"]))).alias("h"))
+    return hits.select(id_col, "h.lexicon_id", "h.category", "h.weight", "h.position").distinct()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievewell.operators.ranks import percentiles
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -46,7 +48,9 @@ def precision(cases: DataFrame) -> DataFrame:
 
 
 def report(cases: DataFrame, gates=SHIPPING) -> DataFrame:
-    """A row for each of the seven metrics: actual, threshold, passed and sample size. One pass over the cases."""
+    """A row for each of the seven metrics: actual, threshold, passed and sample size. One pass over the cases, besides those of rank selection."""
+    if any(g.metric_id == "latency_p95_ms" for g in gates):
+        cases = cases.withColumn("_p95", F.lit(percentiles(cases, "latency_ms", (0.95,)).first()["p"][0]).cast("double"))
     e, p = F.col("expected"), F.col("predicted")
     same, wrong, any_row = e == p, p != 0, F.lit(True)
     measures = {
@@ -54,7 +58,7 @@ def report(cases: DataFrame, gates=SHIPPING) -> DataFrame:
         "privacy_leak_precision": (share(same, p == 9, 1.0), number(p == 9)), "scam_recall": (share(same, e == 7, 1.0), number(e == 7)),
         "protected_speech_false_positive": (share(wrong, tagged("protected_speech"), 0.0), number(tagged("protected_speech"))),
         "minority_language_false_positive": (share(wrong, tagged("minority_language"), 0.0), number(tagged("minority_language"))),
-        "latency_p95_ms": (F.coalesce(F.percentile("latency_ms", F.lit(0.95)), F.lit(0.0)), number(any_row)),
+        "latency_p95_ms": (F.coalesce(F.any_value("_p95"), F.lit(0.0)), number(any_row)),
         "pii_pass_rate": (share(same, tagged("pii"), 1.0), number(tagged("pii"))),
     }
     one = cases.agg(*[F.struct(measures[g.metric_id][0].alias("actual"), measures[g.metric_id][1].alias("n")).alias(g.metric_id) for g in gates])
@@ -102,4 +106,9 @@ def expectations(cases: DataFrame) -> DataFrame:
 def latency(obs: DataFrame, *keys: str) -> DataFrame:
     """p50, p95 and p99 (linear), mean, least and most of latency_ms by keys."""
     x = "latency_ms"
-    return obs.groupBy(*keys).agg(*[F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)], F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(F.lit(1)).alias("n"))
+    rest = obs.groupBy(*keys).agg(F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.count(F.lit(1)).alias("n"))
+    at = percentiles(obs, x, (0.5, 0.95, 0.99), keys).toDF(*[f"_{k}" for k in keys], "_p")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rest.join(at, same).select(*keys, *[F.col("_p")[i].alias(f"p{p}") for i, p in enumerate((50, 95, 99))], "mean", "least", "most", "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievewell.functions import detect, text, verdict
-from sievewell.operators.lexicon import Lexicon, lexicon_hits, lexicon_join
+from sievewell.operators.lexicon import Lexicon, lexicon_hits, lexicon_join, lexicon_search
 from sievewell.sources.tables import OVERLAYS, SALT, messages, table
 
 LEXICONS = (
@@ -107,6 +107,16 @@ def _summary(msgs: DataFrame) -> DataFrame:
     return named.select("category", F.coalesce("name", F.concat(F.lit("CAT_"), F.col("category").cast("string"))).alias("name"), "n", "n_flagged")
 
 
+def _lexicon_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the words of the benchmark, a lexicon for each first letter."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token")
+    words = table(spark, sf_dir, "benchmark").select(word).distinct()
+    letter = F.substring("token", 1, 1)
+    tokens = words.select(F.ascii(letter).alias("position"), F.concat(F.lit("words_"), letter).alias("lexicon_id"), (F.ascii(letter) % 16).cast("int").alias("category"), F.lit(0.6).alias("weight"), "token")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("norm"))
+    return lexicon_search(texts, tokens, "doc_id").select("doc_id", "lexicon_id", "category", "position")
+
+
 def _lex_rows(msgs: DataFrame) -> DataFrame:
     return lexicon_join(msgs.withColumn("norm", text.normalize_text(F.col("text"))), LEXICONS)
 
@@ -153,6 +163,7 @@ QUERIES = {
     "context_hints": _q(lambda m: m.select("msg_id", F.explode(detect.context_hints(F.col("overlay"), F.col("quoted"))).alias("h")).select("msg_id", "h.*")),
     "packed_input": _q(_packed),
     "lexicon_hits": _q(_lex_rows),
+    "lexicon_index": _lexicon_index,
     "lexicon_semi": _q(lambda m: m.select("msg_id").join(_lex_rows(m).select("msg_id"), "msg_id", "left_semi")),
     "lexicon_top": _q(_lex_top),
     "verdict_raw": _q(lambda m: screen(m).select("msg_id", *_flat("raw"))),
@@ -259,6 +270,8 @@ ORACLES = {
     "packed_input": f"""WITH {SIGNALS} SELECT msg_id, length(text)::INTEGER AS chars, coalesce(lang, '') AS lang_hint, coalesce(quoted, false) AS quoted_from_user, 'small_group' AS group_kind, 'member' AS user_role,
       coalesce(overlay, '') AS community_overlay_id, url_risk, array_to_string(pii, ',') AS pii, array_to_string(scam, ',') AS scam, 600::INTEGER AS max_output_tokens, 0.0::DOUBLE AS temperature, 'json' AS output_format FROM signals""",
     "lexicon_hits": f"WITH {SIGNALS} SELECT msg_id, h.lexicon_id AS lexicon_id, h.category::INTEGER AS category, h.weight AS weight, h.position::INTEGER AS position FROM (SELECT msg_id, unnest(lex) AS h FROM signals)",
+    "lexicon_index": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark)
+      SELECT DISTINCT doc_id, 'words_' || token[1] AS lexicon_id, ascii(token) % 16 AS category, ascii(token) AS position FROM documents JOIN t ON contains(lower(text), token)""",
     "lexicon_semi": f"WITH {SIGNALS} SELECT msg_id FROM signals WHERE len(lex) > 0",
     "lexicon_top": f"WITH {RAW} SELECT msg_id, top.lexicon_id AS lexicon_id, top.category::INTEGER AS category, top.weight AS weight FROM ruled WHERE len(lex) > 0",
     "verdict_raw": f"WITH {RAW} SELECT msg_id, {_OUT} FROM raw",
