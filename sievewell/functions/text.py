@@ -41,13 +41,19 @@ def _unaccented(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
+def _beyond_ascii(text: Column, of, plain: Column) -> Column:
+    """`of(text)` for texts with a character beyond ASCII, which alone leave the JVM; `plain` for the others."""
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, of(F.when(wide, text))).otherwise(plain)
+
+
 def normalize_text(text: Column, mode: str = "exact", table: tuple[str, str] = HOMOGLYPHS) -> Column:
     """NFKC, case folding and homoglyph folding, in this order.
 
-    Mode "exact" runs the first two in an Arrow UDF; "sql" is an approximation by lower case and
+    Mode "exact" runs the first two in an Arrow UDF, for texts beyond ASCII; "sql" is an approximation by lower case and
     ss for sharp s without NFKC: wide letters, mathematical letters and ligatures keep their form.
     """
-    folded = _folded(text) if mode == "exact" else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    folded = _beyond_ascii(text, _folded, F.lower(text)) if mode == "exact" else F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     return homoglyph_fold(folded, table)
 
 
@@ -56,7 +62,7 @@ def strip_invisible(text: Column) -> Column:
 
 
 def unaccent(text: Column) -> Column:
-    return _unaccented(text)
+    return _beyond_ascii(text, _unaccented, text)
 
 
 def leet_decode(text: Column) -> Column:

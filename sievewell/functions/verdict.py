@@ -52,10 +52,12 @@ def raw_verdict(url_risk: Column, pii: Column, scam: Column, lexicon: Column, ns
     )
 
 
-def degraded_verdict(health: Column, url_risk: Column, pii: Column, scam: Column, lexicon: Column) -> Column:
-    """What is left without a model: SAFE, with the detectors' codes. Null for a healthy model."""
+def degraded_verdict(health: Column, url_risk: Column, pii: Column, scam: Column, lexicon: Column, codes_given: Column | None = None, rationale: Column | None = None) -> Column:
+    """What is left without a model: SAFE, with the scorer's codes and rationale, if it gave any, and then the detectors' codes, each once. Null for a healthy model."""
+    given = F.coalesce(codes_given, _NONE()) if codes_given is not None else _NONE()
+    why = F.coalesce(F.nullif(rationale, F.lit("")), F.lit(DEGRADED)) if rationale is not None else DEGRADED
     codes = F.array(*[F.when(c, F.lit(x)) for x, c in (("PRIVATE_DATA_PATTERN", F.size(pii) > 0), ("SCAM_PATTERN", F.size(scam) > 0), ("URL_RISK", url_risk >= F.lit(0.5)), ("LEXICON_HIT", F.size(lexicon) > 0))])
-    return F.when(health != "healthy", _verdict(SAFE, 0, 0.0, actions(), F.filter(codes, lambda x: x.isNotNull()), DEGRADED))
+    return F.when(health != "healthy", _verdict(SAFE, 0, 0.0, actions(), F.array_distinct(F.filter(F.concat(given, codes), lambda x: x.isNotNull() & (x != ""))), why))
 
 
 def model_health(health: Column) -> Column:

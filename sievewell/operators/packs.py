@@ -11,6 +11,7 @@ ACTIONS = ("label_only", "warn", "strong_warn", "block", "critical_intervention"
 LAYERS = ("baseline", "jurisdiction", "community")
 SIGNERS = {"jurisdiction": ("legal_review", "cultural_review"), "community": ("trust_and_safety",)}
 CONTEXTS = ("QUOTED_SPEECH_CONTEXT", "NEWS_CONTEXT", "EDUCATION_CONTEXT", "COUNTERSPEECH_CONTEXT")
+SECTIONS = ("INSTRUCTION", "GLOBAL_BASELINE", "JURISDICTION_OVERLAY", "COMMUNITY_OVERLAY", "INPUT", "OUTPUT")
 TOKEN_BUDGET, KEEP, SOON_DAYS, MOST_DAYS = 1800, 3, 30, 540
 
 
@@ -93,12 +94,24 @@ def at_least(version: Column, least: Column) -> Column:
 
 
 def history(registered: DataFrame) -> DataFrame:
-    """The versions kept of each skill, newest first, with the active one; the latest of equal versions counts."""
-    last = Window.partitionBy("skill_id", "version").orderBy(F.desc("seq"))
-    newest = Window.partitionBy("skill_id").orderBy(F.desc("signed_on"), F.desc(version_key(F.col("version"))))
-    once = registered.withColumn("_n", F.row_number().over(last)).filter("_n = 1")
-    placed = once.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= KEEP)
-    return placed.select("skill_id", "version", "signed_on", "expires_on", "place", (F.col("place") == 1).alias("is_active"))
+    """The versions kept of each skill, newest first, with the active one, after all registrations in the order of `seq`.
+
+    A registration replaces an equal version, and the KEEP newest by signing date, then version, then registration stay.
+    One that is older than all of these changes nothing, also if it would replace one: a fold over a skill's
+    registrations, of which KEEP are remembered. They are gathered in a row for each skill, as a pack is signed now and then.
+    """
+    key = version_key(F.col("version"))
+    one = F.struct("signed_on", key.alias("key"), F.col("seq").cast("long").alias("seq"), "version", "expires_on")
+    given = registered.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("at"), one.alias("v")))).alias("given"))
+
+    def step(kept: Column, entry: Column) -> Column:
+        new = entry["v"]
+        ranked = F.slice(F.sort_array(F.concat(F.filter(kept, lambda v: v["version"] != new["version"]), F.array(new)), asc=False), 1, KEEP)
+        return F.transform(F.array(ranked), lambda r: F.when(F.exists(r, lambda v: v["seq"] == new["seq"]), r).otherwise(kept))[0]
+
+    none = F.filter(F.transform("given", lambda e: e["v"]), lambda v: F.lit(False))
+    kept = given.select("skill_id", F.posexplode(F.aggregate("given", none, step)).alias("place", "v"))
+    return kept.select("skill_id", "v.version", "v.signed_on", "v.expires_on", (F.col("place") + 1).alias("place"), (F.col("place") == 0).alias("is_active"))
 
 
 def rollback(kept: DataFrame) -> DataFrame:
@@ -146,10 +159,23 @@ def checksums_agree(passports: DataFrame) -> DataFrame:
 
 
 def sections(manifests: DataFrame) -> DataFrame:
-    """Manifest texts cut at their [NAME] lines: a row for each section, its text trimmed."""
-    parts = F.filter(F.split("text", r"(?m)^\["), lambda x: F.length(F.trim(x)) > 0)
-    cut = manifests.select("manifest", F.explode(parts).alias("part"))
-    return cut.select("manifest", F.regexp_extract("part", r"^([A-Z_]+)\]", 1).alias("section"), F.trim(F.regexp_replace(F.regexp_replace("part", r"^[A-Z_]+\]", ""), r"\s+", " ")).alias("text"))
+    """Manifest texts cut at the marks of SECTIONS, which must follow each other in this order: a row for each section, its
+    text as it stands but for white space at its end. A manifest that lacks a mark has one row, with the first missing mark."""
+    trail, cut, text = r"[ \t\n\r\f\x0B]+$", manifests.select("manifest", "text"), F.coalesce("text", F.lit(""))
+    cut = cut.withColumn("_c0", F.lit(1))
+    for i, name in enumerate(SECTIONS):
+        mark = f"[{name}]"
+        cut = cut.withColumn(f"_i{i}", F.expr(f"CASE WHEN _c{i} > 0 THEN locate('{mark}', coalesce(text, ''), _c{i}) ELSE 0 END"))
+        after = F.col(f"_i{i}") + len(mark)
+        skip = F.when(F.substring(text, after, F.lit(1)) == "\n", 1).otherwise(0)
+        cut = cut.withColumn(f"_c{i + 1}", F.when(F.col(f"_i{i}") > 0, after + skip).otherwise(0))
+    missing = F.coalesce(*[F.when(F.col(f"_i{i}") == 0, F.lit(n)) for i, n in enumerate(SECTIONS)])
+    last = len(SECTIONS) - 1
+    ends = [F.col(f"_i{i + 1}") if i < last else F.length(text) + 1 for i in range(len(SECTIONS))]
+    bodies = [F.struct(F.lit(n).alias("section"), F.regexp_replace(F.substring(text, F.col(f"_c{i + 1}"), ends[i] - F.col(f"_c{i + 1}")), trail, "").alias("text")) for i, n in enumerate(SECTIONS)]
+    none = F.array(F.struct(F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("text")))
+    found = cut.select("manifest", missing.alias("missing"), F.explode(F.when(missing.isNull(), F.array(*bodies)).otherwise(none)).alias("s"))
+    return found.select("manifest", "s.section", "s.text", "missing")
 
 
 def privacy_intact(baseline: DataFrame, overlays: DataFrame, key: str = "rule_id", text: str = "rule") -> DataFrame:

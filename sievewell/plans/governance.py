@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sievewell.functions.verdict import TAXONOMY
 from sievewell.operators import packs
+from sievewell.sources.tables import table
 
-TODAY = "2026-05-15"
+TODAY, SIGNING_DAY = "2026-05-15", "2001-08-01"
 # Invented rows of each shape.
 RULES = (
     ("baseline", "overrides", 1, 5, "critical_intervention"), ("baseline", "overrides", 5, 2, None), ("baseline", "overrides", 7, 3, None), ("baseline", "overrides", 9, 3, "warn"), ("baseline", "overrides", 12, 5, None),
@@ -26,10 +27,6 @@ PACKS = (
     ("sievewell.community.cc", (), ((5, 2),), (), False, True, (), ()),
     ("other.dd", ("trust_and_safety",), ((3, 4),), (), False, False, (), ()),
 )
-VERSIONS = (
-    (1, "s1", "1.0.0", "2026-01-01", "2026-05-01"), (2, "s1", "1.1.0", "2026-02-01", "2026-06-01"), (3, "s1", "1.10.0", "2026-02-01", "2026-06-10"), (4, "s1", "1.2.0", "2025-12-01", "2026-04-01"), (5, "s1", "1.1.0", "2026-03-01", "2026-06-14"),
-    (6, "s2", "0.9", "2026-01-15", "2026-05-15"), (7, "s3", "2.0", "2026-01-15", "2026-05-14"), (8, "s4", "1.0", "2026-01-01", "2026-06-15"), (9, "s4", "1.0b", "2026-04-01", "2027-06-15"), (10, "s5", "x.y", "2026-04-01", "2026-06-14"),
-)
 PASSPORTS = (
     ("s1", "1.1.0", "m1", "1.2", True, "2026-06-14"), ("s2", "0.9", "m1", "1.2.9", True, "2026-05-14"), ("s3", "2.0", "m2", "3.0", True, "2026-12-31"), ("s4", "1.0", "m1", "1.0", False, "2026-12-31"),
     ("s5", "1.0", "m1", "1.10.0", True, "2026-12-31"), ("s6", "1.0", "m1", "1.2.0.1", True, "2029-01-01"), ("s7", "1.0", "m1", "1.2.10", True, "2026-12-31"),
@@ -38,11 +35,9 @@ REVOKED = (("s5", "1.0", "2026-05-01", "leak"), ("s9", "1.0", "2026-05-01", "tes
 RUNTIME = (("m1", "1.2.10"), ("m3", "1.0"))
 SECTIONS = tuple((m, i, f"[{m}] " + "rule text " * n) for m, n in (("short", 4), ("long", 160)) for i in range(6))
 ARTEFACTS = (("a1", "m1", "AB12", (("m1", "ab12"), ("m2", "ff"))), ("a2", "m1", "ab12", (("m1", "cd"), ("m2", "ab12"))), ("a3", "m2", "00", (("m2", None),)), ("a4", "m1", "00", ()))
-MANIFESTS = (("one", "[INSTRUCTION]\nBe  brief.\n[RULES]\ncat 1: [floor] 5\ncat 2\n[OUTPUT]\n"), ("two", "[RULES]\nnone"))
 PRIVACY = (("p1", "no text leaves"), ("p2", "no ids"), ("p3", "no hashes"))
 OVERLAY_PRIVACY = (("p2", "no ids"), ("p3", "some hashes"), ("p9", "own"))
 RULE = "layer string, block string, category int, floor int, action string"
-VERSION = "seq int, skill_id string, version string, signed_on string, expires_on string"
 PASSPORT = "skill_id string, version string, model_id string, min_version string, signature_valid boolean, expires_on string"
 PACK = "skill_id string, signers array<string>, overrides array<struct<category:int,floor:int>>, contexts array<string>, has_taxonomy boolean, has_privacy boolean, provenance array<string>, rule_categories array<int>"
 
@@ -53,8 +48,26 @@ def _rows(spark, rows, schema: str, *dates: str):
     return df.withColumns({d: F.to_date(d) for d in dates}) if dates else df
 
 
-def _kept(spark):
-    return packs.history(_rows(spark, VERSIONS, VERSION, "signed_on", "expires_on"))
+def versions(spark, sf_dir):
+    """Orders as registrations of pack versions: a customer's pack, versions that come again, not always in the order of signing."""
+    k = F.col("o_orderkey")
+    number = F.concat_ws(".", (k % 2 + 1).cast("string"), F.when(k % 5 == 0, "10").otherwise((k % 4).cast("string")))
+    signed = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("seq"), F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("skill_id"), number.alias("version"), signed.alias("signed_on"), F.date_add(signed, (k % 400).cast("int")).alias("expires_on"))
+
+
+def manifests(spark, sf_dir):
+    """A manifest for each supplier, some without a mark or with two in the wrong order."""
+    k, name, n = F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey").cast("string")
+    body = F.concat(
+        F.lit("[INSTRUCTION]\nBe  brief, "), name, F.lit(".\n[x] item\n\n"), F.when(k % 5 == 0, F.lit("[INPUT]\n")).otherwise(F.lit("")), F.lit("[GLOBAL_BASELINE]"), F.lit("cat "), n, F.lit(": floor 5  \n[JURISDICTION_OVERLAY]\n"),
+        F.when(k % 7 == 0, F.lit("[OUTPUT]")).otherwise(F.lit("[COMMUNITY_OVERLAY]\nnone\n[INPUT]\n{}\n[OUTPUT]\n[RULES] ")), name, F.lit("\t\n"))
+    return table(spark, sf_dir, "supplier").select(k.alias("manifest"), body.alias("text"))
+
+
+def _kept(spark, sf_dir):
+    return packs.history(versions(spark, sf_dir))
 
 
 def _q(fn):
@@ -62,6 +75,7 @@ def _q(fn):
 
 
 _today = lambda: F.lit(TODAY).cast("date")
+_signing_day = lambda: F.lit(SIGNING_DAY).cast("date")
 _passports = lambda s: _rows(s, PASSPORTS, PASSPORT, "expires_on")
 _revoked = lambda s: _rows(s, REVOKED, "skill_id string, version string, revoked_on string, reason string", "revoked_on")
 _runtime = lambda s: _rows(s, RUNTIME, "model_id string, runtime_version string")
@@ -74,15 +88,15 @@ QUERIES = {
     "pack_violations": _q(lambda s: packs.violations(_rows(s, PACKS, PACK))),
     "pack_kinds": _q(lambda s: _rows(s, PACKS, PACK).select("skill_id", packs.pack_kind(F.col("skill_id")).alias("kind"))),
     "manifest_tokens": _q(lambda s: packs.manifest_tokens(_rows(s, SECTIONS, "manifest string, place int, text string"))),
-    "manifest_sections": _q(lambda s: packs.sections(_rows(s, MANIFESTS, "manifest string, text string"))),
+    "manifest_sections": lambda s, d: packs.sections(manifests(s, d)),
     "pack_checksums": _q(lambda s: packs.checksums_agree(s.createDataFrame([(a, m, x, [tuple(e) for e in es]) for a, m, x, es in ARTEFACTS], "skill_id string, model_id string, sha256 string, entries array<struct<model_id:string,sha256:string>>"))),
     "privacy_intact": _q(lambda s: packs.privacy_intact(_rows(s, PRIVACY, "rule_id string, rule string"), _rows(s, OVERLAY_PRIVACY, "rule_id string, rule string"))),
-    "pack_history": _q(_kept),
-    "pack_rollback": _q(lambda s: packs.rollback(_kept(s))),
-    "pack_active": _q(lambda s: _kept(s).filter("is_active").select("skill_id", "version")),
-    "pack_expiring": _q(lambda s: packs.expiring(_kept(s), _today()).select("skill_id", "version", "expires_on")),
-    "pack_deactivate": _q(lambda s: packs.deactivated(_kept(s), _today()).select("skill_id", "version", "is_active")),
-    "pack_review": _q(lambda s: packs.review_queue(_kept(s), _today()).select("place", "skill_id", "version", "expires_on")),
+    "pack_history": _kept,
+    "pack_rollback": lambda s, d: packs.rollback(_kept(s, d)),
+    "pack_active": lambda s, d: _kept(s, d).filter("is_active").select("skill_id", "version"),
+    "pack_expiring": lambda s, d: packs.expiring(_kept(s, d), _signing_day()).select("skill_id", "version", "expires_on"),
+    "pack_deactivate": lambda s, d: packs.deactivated(_kept(s, d), _signing_day()).select("skill_id", "version", "is_active"),
+    "pack_review": lambda s, d: packs.review_queue(_kept(s, d), _signing_day()).select("place", "skill_id", "version", "expires_on"),
     "revoked_packs": _q(lambda s: _passports(s).select("skill_id", "version").join(_revoked(s), ["skill_id", "version"], "left_semi")),
     "valid_packs": _q(lambda s: _passports(s).select("skill_id", "version").join(_revoked(s), ["skill_id", "version"], "left_anti")),
     "model_compat": _q(lambda s: _passports(s).join(_runtime(s), "model_id").select("skill_id", "model_id", packs.at_least(F.col("runtime_version"), F.col("min_version")).alias("fits"))),
@@ -121,16 +135,22 @@ _RESOLVED = f"""WITH {_table('rules', RULE, RULES)}, acts AS (
   UNION ALL SELECT 1, 5, 'critical_intervention', 'baseline'
 )"""
 _KEY = "list_transform(string_split({}, '.'), lambda x: coalesce(TRY_CAST(regexp_extract(x, '^\\d+') AS INTEGER), 0))"
-_HISTORY = f"""WITH {_table('given', VERSION, VERSIONS)}, once AS (
-  SELECT skill_id, version, signed_on::DATE AS signed_on, expires_on::DATE AS expires_on FROM given QUALIFY row_number() OVER (PARTITION BY skill_id, version ORDER BY seq DESC) = 1
+_CANDIDATES = "list_reverse_sort(list_append(list_filter(a, lambda v: v.version <> x[1].version), x[1]))[:3]"
+_HISTORY = f"""WITH given AS (
+  SELECT o_orderkey AS seq, 's' || o_custkey AS skill_id, (o_orderkey % 2 + 1) || '.' || CASE WHEN o_orderkey % 5 = 0 THEN '10' ELSE (o_orderkey % 4)::VARCHAR END AS version,
+    o_orderdate::DATE AS signed_on, o_orderdate::DATE + (o_orderkey % 400)::INTEGER AS expires_on FROM orders
+), folded AS (
+  SELECT skill_id, list_reduce(list([{{'signed_on': signed_on, 'key': {_KEY.format('version')}, 'seq': seq, 'version': version, 'expires_on': expires_on}}] ORDER BY seq),
+    lambda a, x: CASE WHEN list_contains(list_transform({_CANDIDATES}, lambda v: v.seq), x[1].seq) THEN {_CANDIDATES} ELSE a END) AS kept FROM given GROUP BY skill_id
 ), history AS (
-  SELECT *, place = 1 AS is_active FROM (SELECT *, row_number() OVER (PARTITION BY skill_id ORDER BY signed_on DESC, {_KEY.format('version')} DESC)::INTEGER AS place FROM once) WHERE place <= 3
+  SELECT skill_id, v.version AS version, v.signed_on AS signed_on, v.expires_on AS expires_on, place::INTEGER AS place, place = 1 AS is_active
+  FROM (SELECT skill_id, unnest(kept) AS v, generate_subscripts(kept, 1) AS place FROM folded)
 )"""
 _PASS = f"WITH {_table('passports', PASSPORT, PASSPORTS)}, {_table('revoked', 'skill_id string, version string, revoked_on string, reason string', REVOKED)}, {_table('runtime', 'model_id string, runtime_version string', RUNTIME)}"
 _LONGER = f"greatest(len({_KEY.format('runtime_version')}), len({_KEY.format('min_version')}))"
 _FULL = lambda c: f"list_resize({_KEY.format(c)}, {_LONGER}, 0)"
 _FITS = f"{_FULL('runtime_version')} >= {_FULL('min_version')}"
-_D = f"DATE '{TODAY}'"
+_D, _S = f"DATE '{TODAY}'", f"DATE '{SIGNING_DAY}'"
 _COLS = "skill_id, signers, overrides, contexts, has_taxonomy, has_privacy, provenance, rule_categories"
 _PACKS = "WITH packs AS (" + " UNION ALL ".join("SELECT " + ", ".join(f"{_sql(v)}{t} AS {c}" for v, t, c in zip(r, ("", "::VARCHAR[]", "::STRUCT(category INTEGER, floor INTEGER)[]", "::VARCHAR[]", "", "", "::VARCHAR[]", "::INTEGER[]"), _COLS.split(", "), strict=True)) for r in PACKS) + "), kinds AS (SELECT *, CASE WHEN starts_with(skill_id, 'sievewell.baseline.') THEN 'baseline' WHEN starts_with(skill_id, 'sievewell.jurisdiction.') THEN 'jurisdiction' WHEN starts_with(skill_id, 'sievewell.community.') THEN 'community' END AS kind FROM packs)"
 _SIGN = "kind = 'jurisdiction' AND NOT list_has_all(signers, ['legal_review', 'cultural_review']) OR kind = 'community' AND NOT list_contains(signers, 'trust_and_safety')"
@@ -138,6 +158,26 @@ _BROKEN = f"""list_filter([CASE WHEN kind IS NULL THEN 'UNKNOWN_KIND' END, CASE
   CASE WHEN kind <> 'baseline' AND has_taxonomy THEN 'OWN_TAXONOMY' END, CASE WHEN {_SIGN} THEN 'SIGNER_MISSING' END,
   CASE WHEN len(list_filter(overrides, lambda o: o.floor >= 4)) > 0 AND NOT list_has_all(contexts, ['QUOTED_SPEECH_CONTEXT', 'NEWS_CONTEXT', 'EDUCATION_CONTEXT', 'COUNTERSPEECH_CONTEXT']) THEN 'CONTEXTS_MISSING' END,
   CASE WHEN kind <> 'baseline' AND has_privacy THEN 'PRIVACY_IN_OVERLAY' END, CASE WHEN list_contains(provenance, '') OR len(provenance) > 0 AND len(signers) = 0 THEN 'LEXICON_PROVENANCE' END], lambda x: x IS NOT NULL)"""
+_MARKS = ("[INSTRUCTION]", "[GLOBAL_BASELINE]", "[JURISDICTION_OVERLAY]", "[COMMUNITY_OVERLAY]", "[INPUT]", "[OUTPUT]")
+
+
+def _marks() -> str:
+    """A step for each mark: i where it begins, c behind it and a line end; 0 from the first that is missing on."""
+    steps = ["c0 AS (SELECT manifest, text, 1 AS c0 FROM given)"]
+    for i, m in enumerate(_MARKS):
+        steps.append(f"p{i} AS (SELECT *, CASE WHEN c{i} > 0 AND strpos(substring(text, c{i}), '{m}') > 0 THEN c{i} + strpos(substring(text, c{i}), '{m}') - 1 ELSE 0 END AS i{i} FROM c{i})")
+        steps.append(f"c{i + 1} AS (SELECT *, CASE WHEN i{i} > 0 THEN i{i} + {len(m)} + (substring(text, i{i} + {len(m)}, 1) = chr(10))::INTEGER ELSE 0 END AS c{i + 1} FROM p{i})")
+    return ", ".join(steps)
+
+
+_SECTIONS = f"""WITH given AS (
+  SELECT s_suppkey AS manifest, '[INSTRUCTION]' || chr(10) || 'Be  brief, ' || s_name || '.' || chr(10) || '[x] item' || chr(10) || chr(10) || CASE WHEN s_suppkey % 5 = 0 THEN '[INPUT]' || chr(10) ELSE '' END
+    || '[GLOBAL_BASELINE]cat ' || s_nationkey || ': floor 5  ' || chr(10) || '[JURISDICTION_OVERLAY]' || chr(10)
+    || CASE WHEN s_suppkey % 7 = 0 THEN '[OUTPUT]' ELSE '[COMMUNITY_OVERLAY]' || chr(10) || 'none' || chr(10) || '[INPUT]' || chr(10) || '{{}}' || chr(10) || '[OUTPUT]' || chr(10) || '[RULES] ' END || s_name || chr(9) || chr(10) AS text FROM supplier
+), {_marks()}
+""" + " UNION ALL ".join(
+    f"SELECT manifest, '{m[1:-1]}' AS section, rtrim(substring(text, c{i + 1}, {f'i{i + 1}' if i < 5 else 'length(text) + 1'} - c{i + 1}), ' ' || chr(9) || chr(10)) AS text, NULL::VARCHAR AS missing FROM c6 WHERE c6.c6 > 0" for i, m in enumerate(_MARKS)
+) + " UNION ALL SELECT manifest, NULL, NULL, CASE " + " ".join(f"WHEN i{i} = 0 THEN '{m[1:-1]}'" for i, m in enumerate(_MARKS)) + " END FROM c6 WHERE c6.c6 = 0"
 ORACLES = {
     "resolve_rules": f"{_RESOLVED} SELECT * FROM resolved",
     "taxonomy_join": f"{_RESOLVED} SELECT category, coalesce({_sql(TAXONOMY[:15])}[category + 1], 'CAT_' || category) AS name FROM resolved",
@@ -148,17 +188,16 @@ ORACLES = {
     "pack_violations": f"{_PACKS} SELECT skill_id, unnest({_BROKEN}) AS rule FROM kinds",
     "pack_kinds": f"{_PACKS} SELECT skill_id, kind FROM kinds",
     "manifest_tokens": f"WITH {_table('sections', 'manifest string, place int, text string', SECTIONS)} SELECT manifest, tokens, tokens <= 1800 AS fits FROM (SELECT manifest, ceil(length(string_agg(text, chr(10) ORDER BY place)) / 4)::BIGINT AS tokens FROM sections GROUP BY manifest)",
-    "manifest_sections": f"""WITH {_table('given', 'manifest string, text string', MANIFESTS)}, cut AS (SELECT manifest, unnest(string_split_regex(text, '(?m)^\\[')) AS part FROM given)
-    SELECT manifest, regexp_extract(part, '^([A-Z_]+)\\]', 1) AS section, trim(regexp_replace(regexp_replace(part, '^[A-Z_]+\\]', ''), '\\s+', ' ', 'g')) AS text FROM cut WHERE trim(part) <> ''""",
+    "manifest_sections": _SECTIONS,
     "pack_checksums": f"""WITH {_table('a', 'skill_id string, model_id string, sha256 string', [r[:3] for r in ARTEFACTS])}, {_table('e', 'skill_id string, model_id string, sha256 string', [(r[0], *e) for r in ARTEFACTS for e in r[3]])}
     SELECT a.skill_id, count(e.skill_id) > 0 AS agree FROM a LEFT JOIN e ON e.skill_id = a.skill_id AND e.model_id = a.model_id AND (e.sha256 IS NULL OR lower(e.sha256) = lower(a.sha256)) GROUP BY a.skill_id""",
     "privacy_intact": f"WITH {_table('p', 'rule_id string, rule string', PRIVACY)}, {_table('o', 'rule_id string, rule string', OVERLAY_PRIVACY)} SELECT o.rule_id, o.rule AS overlay, p.rule AS baseline FROM o LEFT JOIN p ON p.rule_id = o.rule_id",
     "pack_history": f"{_HISTORY} SELECT skill_id, version, signed_on, expires_on, place, is_active FROM history",
     "pack_rollback": f"{_HISTORY} SELECT skill_id, version FROM history WHERE place = 2",
     "pack_active": f"{_HISTORY} SELECT skill_id, version FROM history WHERE is_active",
-    "pack_expiring": f"{_HISTORY} SELECT skill_id, version, expires_on FROM history WHERE is_active AND expires_on <= {_D} + 30",
-    "pack_deactivate": f"{_HISTORY} SELECT skill_id, version, is_active AND expires_on >= {_D} AS is_active FROM history",
-    "pack_review": f"{_HISTORY} SELECT row_number() OVER (ORDER BY expires_on, skill_id)::INTEGER AS place, skill_id, version, expires_on FROM history WHERE is_active AND expires_on BETWEEN {_D} AND {_D} + 30",
+    "pack_expiring": f"{_HISTORY} SELECT skill_id, version, expires_on FROM history WHERE is_active AND expires_on <= {_S} + 30",
+    "pack_deactivate": f"{_HISTORY} SELECT skill_id, version, is_active AND expires_on >= {_S} AS is_active FROM history",
+    "pack_review": f"{_HISTORY} SELECT row_number() OVER (ORDER BY expires_on, skill_id)::INTEGER AS place, skill_id, version, expires_on FROM history WHERE is_active AND expires_on BETWEEN {_S} AND {_S} + 30",
     "revoked_packs": f"{_PASS} SELECT skill_id, version FROM passports WHERE (skill_id, version) IN (SELECT (skill_id, version) FROM revoked)",
     "valid_packs": f"{_PASS} SELECT skill_id, version FROM passports WHERE (skill_id, version) NOT IN (SELECT (skill_id, version) FROM revoked)",
     "model_compat": f"{_PASS} SELECT skill_id, model_id, {_FITS} AS fits FROM passports JOIN runtime USING (model_id)",

@@ -147,9 +147,9 @@ def _packed(msgs: DataFrame) -> DataFrame:
 QUERIES = {
     "flagship": flagship,
     "normalize_text": _q(lambda m: m.select("msg_id", F.md5(text.normalize_text(F.col("text"))).alias("norm_md5"))),
-    "homoglyph_fold": _q(lambda m: m.select("msg_id", text.homoglyph_fold(F.concat(F.lit("Ѕсаm аρе１２ "), F.substring("text", 1, 10))).alias("folded"))),
-    "leet_decode": _q(lambda m: m.select("msg_id", text.leet_decode(F.concat(F.lit("h3ll0 $tup1d @b8 "), F.col("msg_id").cast("string"))).alias("decoded"))),
-    "strip_invisible": _q(lambda m: m.select("msg_id", text.collapse_space(text.strip_invisible(F.concat(F.lit("a​b‮c️  d \t"), F.substring("text", 1, 12)))).alias("stripped"))),
+    "homoglyph_fold": _q(lambda m: m.select("msg_id", text.homoglyph_fold(F.concat(F.lit("Ѕсаm аρе１２ "), F.col("text"))).alias("folded"))),
+    "leet_decode": _q(lambda m: m.select("msg_id", text.leet_decode(F.concat(F.lit("h3ll0 $tup1d @b8 "), F.col("text"))).alias("decoded"))),
+    "strip_invisible": _q(lambda m: m.select("msg_id", text.collapse_space(text.strip_invisible(F.concat(F.lit("a​b‮c️  d \t"), F.col("text")))).alias("stripped"))),
     "decode_forms": _q(lambda m: m.select("msg_id", text.decode_forms(F.concat(F.lit("s c​ á m "), F.col("text")), leet=True).alias("f")).select("msg_id", "f.*")),
     "homoglyph_fold_text": _q(lambda m: m.select("msg_id", F.md5(text.homoglyph_fold(F.concat(F.lit("Ѕсаm аρе１２ "), F.col("text")))).alias("folded_md5"))),
     "leet_decode_text": _q(lambda m: m.select("msg_id", F.md5(text.leet_decode(F.concat(F.lit("h3ll0 $tup1d @b8 "), F.col("text")))).alias("decoded_md5"))),
@@ -252,9 +252,9 @@ _INV = lit(r"[\x{AD}\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\
 ORACLES = {
     "flagship": f"WITH {POLICY} SELECT lang, category, actions, count(*) AS n FROM (SELECT lang, {_OUT} FROM policy) GROUP BY ALL",
     "normalize_text": f"WITH {SIGNALS} SELECT msg_id, md5(norm) AS norm_md5 FROM normed",
-    "homoglyph_fold": f"WITH {MESSAGES} SELECT msg_id, translate('Ѕсаm аρе１２ ' || substring(text, 1, 10), {_GLYPHS}) AS folded FROM messages",
-    "leet_decode": f"WITH {MESSAGES} SELECT msg_id, translate('h3ll0 $tup1d @b8 ' || msg_id, {', '.join(map(lit, text.LEET))}) AS decoded FROM messages",
-    "strip_invisible": f"WITH {MESSAGES} SELECT msg_id, trim(regexp_replace(regexp_replace('a​b‮c️  d \t' || substring(text, 1, 12), {_INV}, '', 'g'), '[{text.WHITE}]+', ' ', 'g')) AS stripped FROM messages",
+    "homoglyph_fold": f"WITH {MESSAGES} SELECT msg_id, translate('Ѕсаm аρе１２ ' || text, {_GLYPHS}) AS folded FROM messages",
+    "leet_decode": f"WITH {MESSAGES} SELECT msg_id, translate('h3ll0 $tup1d @b8 ' || text, {', '.join(map(lit, text.LEET))}) AS decoded FROM messages",
+    "strip_invisible": f"WITH {MESSAGES} SELECT msg_id, trim(regexp_replace(regexp_replace('a​b‮c️  d \t' || text, {_INV}, '', 'g'), '[{text.WHITE}]+', ' ', 'g')) AS stripped FROM messages",
     "homoglyph_fold_text": f"WITH {MESSAGES} SELECT msg_id, md5(translate('Ѕсаm аρе１２ ' || text, {_GLYPHS})) AS folded_md5 FROM messages",
     "leet_decode_text": f"WITH {MESSAGES} SELECT msg_id, md5(translate('h3ll0 $tup1d @b8 ' || text, {', '.join(map(lit, text.LEET))})) AS decoded_md5 FROM messages",
     "strip_invisible_text": f"WITH {MESSAGES} SELECT msg_id, md5(trim(regexp_replace(regexp_replace('a\u200bb\u202ec\ufe0f  d \t' || text, {_INV}, '', 'g'), '[{text.WHITE}]+', ' ', 'g'))) AS stripped_md5 FROM messages",
