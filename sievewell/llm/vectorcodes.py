@@ -10,7 +10,7 @@ the input; they search it by branch and bound, visiting boxes whose bound equals
 distance too, so that a lower index at the same distance is found. Tasks return integer sums
 for each entry, one row for each entry and position, and these are added up by Spark; the new
 entries are what reaches the driver. All arithmetic is exact: distances that might leave 64
-bits are computed with Python's integers.
+bits are computed with Python's integers, all others with doubles that hold them exactly.
 
 Cases: rows whose vector is null or holds a null or a component that isn't finite are
 dropped; of rows with equal vec_id, the lesser vector comes first; a null vec_id is the
@@ -71,9 +71,10 @@ def nearest(tree: Node, book: np.ndarray, points: np.ndarray) -> tuple[np.ndarra
     """(index, squared distance) of the nearest entry for each of `points`, the lower index of equal ones."""
     n, width = points.shape
     most = max(1, int(abs(points).max(initial=0)), int(abs(book).max()))
-    if width * (2 * most) ** 2 >= _LONG:
-        points, book = points.astype(object), book.astype(object)
-    best = np.full(n, _LONG if points.dtype != object else width * (2 * most) ** 2 + 1, points.dtype)
+    quick = 4 * width * (2 * most) ** 2 < 1 << 53  # then doubles hold every number on the way
+    points, book = (a.astype(float if quick else object) for a in (points, book))
+    best = np.full(n, width * (2 * most) ** 2 + 1, points.dtype)
+    squares, own_squares = (book * book).sum(1), (points * points).sum(1)
     at = np.full(n, len(book), np.int64)
 
     def bound(node: Node, rows: np.ndarray) -> np.ndarray:
@@ -85,8 +86,7 @@ def nearest(tree: Node, book: np.ndarray, points: np.ndarray) -> tuple[np.ndarra
         if not len(rows):
             return
         if not node.halves:
-            apart = points[rows, None, :] - book[node.entries]
-            far = (apart * apart).sum(2)
+            far = own_squares[rows, None] - 2 * (points[rows] @ book[node.entries].T) + squares[node.entries]
             first = far.argmin(1)  # of equal ones the first, entries ascend
             least, entry = far[np.arange(len(rows)), first], node.entries[first]
             better = (least < best[rows]) | ((least == best[rows]) & (entry < at[rows]))
@@ -99,7 +99,7 @@ def nearest(tree: Node, book: np.ndarray, points: np.ndarray) -> tuple[np.ndarra
 
     for i in range(0, n, _ROWS):
         visit(tree, np.arange(i, min(n, i + _ROWS)))
-    return at, best
+    return at, best.astype(np.int64) if quick else best
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
