@@ -67,10 +67,15 @@ def kd_tree(book: np.ndarray, entries: np.ndarray | None = None, leaf: int = LEA
     return node
 
 
+def _largest(a: np.ndarray) -> int:
+    """The largest absolute value, also of the least long."""
+    return max(int(a.max(initial=0)), -int(a.min(initial=0)))
+
+
 def nearest(tree: Node, book: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of the nearest entry for each of `points`, the lower index of equal ones."""
     n, width = points.shape
-    most = max(1, int(abs(points).max(initial=0)), int(abs(book).max()))
+    most = max(1, _largest(points), _largest(book))
     quick = 4 * width * (2 * most) ** 2 < 1 << 53  # then doubles hold every number on the way
     points, book = (a.astype(float if quick else object) for a in (points, book))
     best = np.full(n, width * (2 * most) ** 2 + 1, points.dtype)
@@ -124,7 +129,7 @@ def _moved(rows: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
         counts = [np.zeros(len(b), np.int64) for b in books]
         for batch in batches:
             v = _matrix(batch.column("v"), parts * width)
-            exact = len(v) == 0 or int(abs(v).max()) < _LONG // (len(v) + 1)
+            exact = _largest(v) < _LONG // (len(v) + 1)
             for p, book in enumerate(books):
                 own = v[:, p * width : (p + 1) * width]
                 at, _ = nearest(trees[p], book, own)

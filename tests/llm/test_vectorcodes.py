@@ -60,6 +60,8 @@ def test_many_equal_distances(spark):
 
 def test_large_components_stay_exact(spark):
     rows = made(40, 8, 3, 3e12)
+    ends, _ = run(spark, [(i, [x] * 4, 0) for i, x in enumerate((-3e38, 3e38, 0.0))], entries=2)
+    assert [e[2:] for e in ends] == [("00000000", 0), ("01010101", 2**63 - 1), ("01010101", 2**63 - 1)]
     got, books = run(spark, rows, entries=8)
     want, want_books = brute(rows, entries=8)
     assert [b.tolist() for b in books] == want_books
