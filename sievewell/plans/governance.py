@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sievewell.functions.verdict import TAXONOMY
 from sievewell.operators import packs
-from sievewell.sources.tables import table
+from sievewell.operators.asof import as_of
+from sievewell.sources.tables import event_times, table
 
 TODAY, SIGNING_DAY = "2026-05-15", "2001-08-01"
+FIRST_DAY = 1_704_067_200_000_000  # 2024-01-01, in microseconds
 # Invented rows of each shape.
 RULES = (
     ("baseline", "overrides", 1, 5, "critical_intervention"), ("baseline", "overrides", 5, 2, None), ("baseline", "overrides", 7, 3, None), ("baseline", "overrides", 9, 3, "warn"), ("baseline", "overrides", 12, 5, None),
@@ -66,6 +68,17 @@ def manifests(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(k.alias("manifest"), body.alias("text"))
 
 
+def _version_at_event(spark, sf_dir):
+    """Events with the version of their user's pack that was registered last, and whether it still holds. Orders become registrations within the month of the events."""
+    k = F.col("o_orderkey")
+    at = F.timestamp_micros(F.lit(FIRST_DAY) + (k * 7919 % 43_200) * 60_000_000)
+    until = F.timestamp_micros(F.unix_micros("ts") + (F.col("seq") % 10) * 86_400_000_000)
+    given = table(spark, sf_dir, "orders").select((k % 150).alias("user_id"), at.alias("ts"), k.alias("seq"), F.concat(F.lit("1."), (k % 40).cast("string")).alias("version"))
+    given = given.filter("user_id % 10 <> 0").withColumn("until", until)
+    events = event_times(spark, sf_dir).select("event_id", "user_id", "ts")
+    return as_of(events, given, ["user_id"], "ts", ["seq", "version", "until"]).select("event_id", "seq", "version", (F.col("until") >= F.col("ts")).alias("holds"))
+
+
 def _kept(spark, sf_dir):
     return packs.history(versions(spark, sf_dir))
 
@@ -92,6 +105,7 @@ QUERIES = {
     "pack_checksums": _q(lambda s: packs.checksums_agree(s.createDataFrame([(a, m, x, [tuple(e) for e in es]) for a, m, x, es in ARTEFACTS], "skill_id string, model_id string, sha256 string, entries array<struct<model_id:string,sha256:string>>"))),
     "privacy_intact": _q(lambda s: packs.privacy_intact(_rows(s, PRIVACY, "rule_id string, rule string"), _rows(s, OVERLAY_PRIVACY, "rule_id string, rule string"))),
     "pack_history": _kept,
+    "version_at_event": _version_at_event,
     "pack_rollback": lambda s, d: packs.rollback(_kept(s, d)),
     "pack_active": lambda s, d: _kept(s, d).filter("is_active").select("skill_id", "version"),
     "pack_expiring": lambda s, d: packs.expiring(_kept(s, d), _signing_day()).select("skill_id", "version", "expires_on"),
@@ -193,6 +207,11 @@ ORACLES = {
     SELECT a.skill_id, count(e.skill_id) > 0 AS agree FROM a LEFT JOIN e ON e.skill_id = a.skill_id AND e.model_id = a.model_id AND (e.sha256 IS NULL OR lower(e.sha256) = lower(a.sha256)) GROUP BY a.skill_id""",
     "privacy_intact": f"WITH {_table('p', 'rule_id string, rule string', PRIVACY)}, {_table('o', 'rule_id string, rule string', OVERLAY_PRIVACY)} SELECT o.rule_id, o.rule AS overlay, p.rule AS baseline FROM o LEFT JOIN p ON p.rule_id = o.rule_id",
     "pack_history": f"{_HISTORY} SELECT skill_id, version, signed_on, expires_on, place, is_active FROM history",
+    "version_at_event": """WITH v AS (
+      SELECT o_orderkey % 150 AS user_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 7919 % 43200) AS signed, o_orderkey AS seq, '1.' || o_orderkey % 40 AS version FROM orders WHERE o_orderkey % 150 % 10 <> 0
+    )
+    SELECT event_id, seq, version, signed + to_days((seq % 10)::INTEGER) >= ts AS holds FROM events e LEFT JOIN v ON v.user_id = e.user_id AND signed <= ts
+    QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY signed DESC, seq DESC) = 1""",
     "pack_rollback": f"{_HISTORY} SELECT skill_id, version FROM history WHERE place = 2",
     "pack_active": f"{_HISTORY} SELECT skill_id, version FROM history WHERE is_active",
     "pack_expiring": f"{_HISTORY} SELECT skill_id, version, expires_on FROM history WHERE is_active AND expires_on <= {_S} + 30",
