@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievewell.plans import governance, measures, screen, streams
+from sievewell.plans import governance, judged, measures, screen, streams
 
-QUERIES = screen.QUERIES | measures.QUERIES | governance.QUERIES | streams.QUERIES
-ORACLES = screen.ORACLES | measures.ORACLES | governance.ORACLES | streams.ORACLES
+QUERIES = screen.QUERIES | measures.QUERIES | governance.QUERIES | streams.QUERIES | judged.QUERIES
+ORACLES = screen.ORACLES | measures.ORACLES | governance.ORACLES | streams.ORACLES | judged.ORACLES
