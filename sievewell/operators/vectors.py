@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 TEMPERATURE, MARGIN = 0.01, 0.10
 MOST_PROTOTYPES = 10_000
@@ -26,40 +25,55 @@ def prototypes(vectors: DataFrame) -> DataFrame:
     return whole.select("label", F.transform("v", lambda x: x / norm(F.col("v"))).alias("prototype"))
 
 
-def scores(vectors: DataFrame, protos: DataFrame) -> DataFrame:
-    """vec_id, label_id, cosine and p, the softmax over all prototypes at TEMPERATURE. Prototypes are a checked number."""
-    if (n := protos.count()) > MOST_PROTOTYPES:
-        raise ValueError(f"{n} prototypes; {MOST_PROTOTYPES} are broadcast at most")
-    every = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(protos.withColumnRenamed("label", "label_id")))
-    cos = every.select("vec_id", "label_id", (dot(F.col("embedding"), F.col("prototype")) / norm(F.col("embedding"))).alias("cosine"))
-    own = Window.partitionBy("vec_id")
-    e = F.exp((F.col("cosine") - F.max("cosine").over(own)) / F.lit(TEMPERATURE))
-    return cos.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(own)).drop("e")
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def head_scores(vectors: DataFrame, heads: DataFrame) -> DataFrame:
-    """vec_id, label_id, logit and p of each row, by a linear head of (label, weights, bias) rows, a checked number of labels.
-
-    The head is one row, and a vector's softmax is within its own row: nothing is shuffled. A null vector has null scores;
-    rows with equal ids are scored each by itself."""
+def _scored(vectors: DataFrame, heads: DataFrame, cosine: bool = False, temperature: float = 1.0) -> DataFrame:
+    """vec_id and _s, an array of (label_id, logit, p) in label order. All heads are one row of a checked number of labels, and softmax is within a vector's row: nothing is shuffled."""
     if (n := heads.count()) > MOST_PROTOTYPES:
         raise ValueError(f"{n} labels; {MOST_PROTOTYPES} are broadcast at most")
     packed = heads.agg(F.sort_array(F.collect_list(F.struct("label", "weights", "bias"))).alias("_head"))
-    let = lambda value, body: F.transform(F.array(value), body)[0]
-    logits = F.transform("_head", lambda h: F.struct(h["label"].alias("label_id"), (dot(F.col("embedding"), h["weights"]) + h["bias"]).alias("logit")))
-    shifted = lambda of: let(F.array_max(F.transform(of, lambda x: x["logit"])), lambda most: F.transform(of, lambda x: F.struct(x["label_id"], x["logit"], F.exp(x["logit"] - most).alias("e"))))
-    shares = lambda of: let(F.aggregate(of, F.lit(0.0), lambda s, x: s + x["e"]), lambda total: F.transform(of, lambda x: F.struct(x["label_id"].alias("label_id"), x["logit"].alias("logit"), (x["e"] / total).alias("p"))))
+    x = F.col("embedding")
+
+    def logits(size: Column) -> Column:
+        return F.transform("_head", lambda h: F.struct(h["label"].alias("label_id"), (dot(x, h["weights"]) / size + h["bias"]).alias("logit")))
+
+    def shifted(of: Column) -> Column:
+        return _let(F.array_max(F.transform(of, lambda s: s["logit"])), lambda most: F.transform(of, lambda s: F.struct(s["label_id"], s["logit"], F.exp((s["logit"] - most) / F.lit(temperature)).alias("e"))))
+
+    def shares(of: Column) -> Column:
+        total = F.aggregate(of, F.lit(0.0), lambda t, s: t + s["e"])
+        return _let(total, lambda t: F.transform(of, lambda s: F.struct(s["label_id"].alias("label_id"), s["logit"].alias("logit"), (s["e"] / t).alias("p"))))
+
     every = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(packed))
-    return every.select("vec_id", F.inline(let(logits, lambda x: let(shifted(x), shares))))
+    return every.select("vec_id", _let(norm(x) if cosine else F.lit(1.0), lambda size: _let(logits(size), lambda l: _let(shifted(l), shares))).alias("_s"))
+
+
+def _as_heads(protos: DataFrame) -> DataFrame:
+    return protos.select("label", F.col("prototype").alias("weights"), F.lit(0.0).alias("bias"))
+
+
+def scores(vectors: DataFrame, protos: DataFrame) -> DataFrame:
+    """vec_id, label_id, cosine and p, the softmax over all prototypes at TEMPERATURE. Rows with equal ids are scored each by itself."""
+    return _scored(vectors, _as_heads(protos), True, TEMPERATURE).select("vec_id", F.inline("_s")).withColumnRenamed("logit", "cosine")
+
+
+def head_scores(vectors: DataFrame, heads: DataFrame) -> DataFrame:
+    """vec_id, label_id, logit and p of each row, by a linear head of (label, weights, bias) rows, a checked number of labels.
+
+    A null vector has null scores; rows with equal ids are scored each by itself."""
+    return _scored(vectors, heads).select("vec_id", F.inline("_s"))
 
 
-def verdicts(scored: DataFrame) -> DataFrame:
-    """The best label of each vector; 0 (safe) where it is 0 or leads the second by less than MARGIN."""
-    order = Window.partitionBy("vec_id").orderBy(F.desc("p"), "label_id")
-    ranked = scored.withColumn("place", F.row_number().over(order)).filter("place <= 2")
-    top = ranked.groupBy("vec_id").agg(F.max(F.when(F.col("place") == 1, F.col("label_id"))).alias("best"), F.max(F.when(F.col("place") == 1, F.col("p"))).alias("p"), F.max(F.when(F.col("place") == 2, F.col("p"))).alias("second"))
-    safe = (F.col("best") == 0) | (F.col("p") - F.coalesce("second", F.lit(0.0)) < F.lit(MARGIN))
-    return top.select("vec_id", F.when(safe, 0).otherwise(F.col("best")).cast("int").alias("category"), F.when(safe, 0).otherwise(2).cast("int").alias("severity"), F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("p"))).alias("confidence"))
+def verdicts(vectors: DataFrame, protos: DataFrame) -> DataFrame:
+    """The best label of each vector; 0 (safe) where it is 0 or leads the second by less than MARGIN. Within a row, like the scores."""
+    ranked = F.slice(F.array_sort(F.transform("_s", lambda s: F.struct((-s["p"]).alias("last"), s["label_id"].alias("label_id"), s["p"].alias("p")))), 1, 2)
+    top = _scored(vectors, _as_heads(protos), True, TEMPERATURE).select("vec_id", ranked.alias("_r")).filter(F.size("_r") > 0)
+    best, p, second = F.get("_r", F.lit(0))["label_id"], F.get("_r", F.lit(0))["p"], F.get("_r", F.lit(1))["p"]
+    safe = (best == 0) | (p - F.coalesce(second, F.lit(0.0)) < F.lit(MARGIN))
+    return top.select("vec_id", F.when(safe, 0).otherwise(best).cast("int").alias("category"), F.when(safe, 0).otherwise(2).cast("int").alias("severity"), F.greatest(F.lit(0.05), F.least(F.lit(0.95), p)).alias("confidence"))
 
 
 def agreement(pairs: DataFrame, a: str, b: str, floor: float = 0.94) -> DataFrame:

@@ -211,7 +211,7 @@ QUERIES = {
     "appeal_skills": lambda s, d: _good(s, d).select("skill_id").distinct(),
     "head_scores": _head,
     "prototype_scores": lambda s, d: _scores(s, d).select("vec_id", "label_id", *_r("cosine")),
-    "embedding_verdict": lambda s, d: vectors.verdicts(_scores(s, d)).select("vec_id", "category", "severity", F.round("confidence", 4).alias("confidence")),
+    "embedding_verdict": lambda s, d: vectors.verdicts(_vectors(s, d), vectors.prototypes(_vectors(s, d))).select("vec_id", "category", "severity", F.round("confidence", 4).alias("confidence")),
     "embedding_agreement": lambda s, d: vectors.agreement(_vectors(s, d).withColumn("coarse", F.transform("embedding", lambda x: F.round(x.cast("double"), 2))), "embedding", "coarse").select(*_r("least", "mean", "most"), "passed"),
 }
 

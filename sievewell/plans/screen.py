@@ -72,8 +72,8 @@ CATS = (0, 1, 3, 9)
 
 def tie_break(rows: DataFrame, key: str) -> DataFrame:
     """One verdict of each key: the most severe, then the least category."""
-    order = Window.partitionBy(key).orderBy(F.desc("severity"), "category")
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    first = F.struct((-F.col("severity")).alias("severity"), "category")
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), first).alias("_row")).select("_row.*")  # combined before the shuffle
 
 
 def _coerce(msgs: DataFrame) -> DataFrame:

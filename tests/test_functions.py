@@ -229,3 +229,13 @@ def test_head_scores_are_a_softmax(spark):
         want += [(i, k, round(float(z[k]), 9), round(float(e[k] / e.sum()), 9)) for k in range(3)]
     assert sorted((r["vec_id"], r["label_id"], round(r["logit"], 9), round(r["p"], 9)) for r in got.collect() if r["vec_id"] < 3) == sorted(want)
     assert all(r["p"] is None for r in got.filter("vec_id = 3").collect())
+
+
+def test_prototypes_without_labels_score_nothing(spark):
+    from sievewell.operators import vectors
+
+    df = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [0.0, 2.0], None)], "vec_id long, embedding array<double>, label int")
+    none = vectors.prototypes(df)
+    assert vectors.scores(df, none).count() == 0 and vectors.verdicts(df, none).count() == 0
+    one = vectors.prototypes(df.withColumn("label", F.lit(3)))
+    assert {r["vec_id"]: r["category"] for r in vectors.verdicts(df, one).collect()} == {1: 3, 2: 3}
