@@ -24,24 +24,25 @@ def default_action(severity: Column) -> Column:
     return F.when(severity == 5, "critical_intervention").when(severity == 4, "strong_warn").when(severity == 3, "warn").otherwise("label_only")
 
 
-def resolve(rules: DataFrame) -> DataFrame:
-    """The active rule of each category over (layer, block, category, floor, action) rows of the overlays.
+def resolve(rules: DataFrame, *by: str) -> DataFrame:
+    """The active rule of each category, and of the columns `by`, over (layer, block, category, floor, action) rows of the overlays.
 
     The highest floor and the most protective action win. An `overrides` row has the action of its floor, whatever
     it states; a `rules` row has no floor, and warns if it states no action. An action that is not known is kept if a
     category has no other row, and else counts as `label_only`. The source is the most specific layer with a `rules` row,
     else the first that names the category. Child safety is always there, as the baseline has it; other rows of
-    the baseline resolve nothing, and rows without a category are left out.
+    the baseline resolve nothing, and rows without a category are left out. Every value of `by` that has a row has child safety.
     """
     level = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer")).cast("int")
     own, floor = F.col("block") == "rules", F.coalesce("floor", F.lit(0))
     act = F.when(own, F.coalesce("action", F.lit("warn"))).otherwise(default_action(floor))
     folded = rules.filter(F.col("layer").isin(*LAYERS[1:]) & (F.col("category") != 1))
-    ranked = folded.select("category", F.when(own, 0).otherwise(floor).alias("floor"), F.struct(action_rank(act).alias("rank"), act.alias("action")).alias("act"), F.when(own, F.struct(level.alias("l"), "layer")).alias("own"), F.struct(level.alias("l"), "layer").alias("any"))
-    got = ranked.groupBy("category").agg(F.max("floor").alias("floor"), F.max("act").alias("act"), F.max("own").alias("own"), F.min("any").alias("any"), F.count(F.lit(1)).alias("n"))
+    ranked = folded.select(*by, "category", F.when(own, 0).otherwise(floor).alias("floor"), F.struct(action_rank(act).alias("rank"), act.alias("action")).alias("act"), F.when(own, F.struct(level.alias("l"), "layer")).alias("own"), F.struct(level.alias("l"), "layer").alias("any"))
+    got = ranked.groupBy(*by, "category").agg(F.max("floor").alias("floor"), F.max("act").alias("act"), F.max("own").alias("own"), F.min("any").alias("any"), F.count(F.lit(1)).alias("n"))
     action = F.when((F.col("n") > 1) & (F.col("act.rank") == 0), "label_only").otherwise(F.col("act.action"))
-    out = got.select("category", F.col("floor").cast("int").alias("severity_floor"), action.alias("action"), F.coalesce("own.layer", "any.layer").alias("source"))
-    child = rules.sparkSession.range(1).select(F.lit(1).alias("category"), F.lit(5).alias("severity_floor"), F.lit("critical_intervention").alias("action"), F.lit("baseline").alias("source"))
+    out = got.select(*by, "category", F.col("floor").cast("int").alias("severity_floor"), action.alias("action"), F.coalesce("own.layer", "any.layer").alias("source"))
+    every = rules.select(*by).distinct() if by else rules.sparkSession.range(1)
+    child = every.select(*by, F.lit(1).alias("category"), F.lit(5).alias("severity_floor"), F.lit("critical_intervention").alias("action"), F.lit("baseline").alias("source"))
     return out.unionByName(child)
 
 
