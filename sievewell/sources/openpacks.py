@@ -48,6 +48,11 @@ def has_key(v: Column, *keys: str) -> Column:
     return F.coalesce(F.try_variant_get(v, _path(*keys), "variant").isNotNull(), F.lit(False))
 
 
+def _once(rows: DataFrame, kept: list[str], columns: Mapping[str, Column]) -> DataFrame:
+    """Rows with columns that are computed once a row: a generator, so that later filters and uses of them do not repeat the parse."""
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def opened(rows: DataFrame, fields: Mapping[str, str], required: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """Rows with `doc`, the parsed text, a column for each field, and `problem`, the first that holds, or null:
 
@@ -56,7 +61,8 @@ def opened(rows: DataFrame, fields: Mapping[str, str], required: tuple[str, ...]
     in `doc`. Of a row with a problem the fields that can be read are kept. Columns named as a field are replaced.
     """
     doc = F.col("doc")
-    parsed = rows.withColumn("doc", F.try_parse_json(F.col(text)))
+    left = [c for c in rows.columns if c not in {"doc", "problem", *fields}]
+    parsed = _once(rows, left, {"doc": F.try_parse_json(F.col(text))})
     stated = {k: F.try_variant_get(doc, _path(k), kind) for k, kind in fields.items()}
     whole = {k: has_key(doc, k) & ~F.is_variant_null(F.try_variant_get(doc, _path(k), "variant")) for k in {**fields, **dict.fromkeys(required)}}
     problem = F.when(doc.isNull(), "not_json").when(~F.schema_of_variant(doc).startswith("OBJECT"), "not_an_object")
@@ -64,7 +70,7 @@ def opened(rows: DataFrame, fields: Mapping[str, str], required: tuple[str, ...]
         problem = problem.when(~whole[k], f"missing_{k}")
     for k in fields:
         problem = problem.when(whole[k] & stated[k].isNull(), f"type_{k}")
-    return parsed.withColumns({**stated, "problem": problem})
+    return _once(parsed, [*left, "doc"], {**stated, "problem": problem})
 
 
 def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,4 +107,4 @@ def case_rows(rows: DataFrame, source: str = "text") -> DataFrame:
     problem = problem.when(read["case_id"].isNull(), "missing_case_id")
     filled = {k: F.when(has_key(doc, *path), read[k]).otherwise(F.lit(default)) for k, (path, _, default) in CASE.items()}
     filled["language_hint"] = F.when(has_key(doc, *CASE["language_hint"][0]), read["language_hint"]).otherwise(filled["language"])
-    return rows.select(F.try_parse_json(F.col(source)).alias("doc")).select(*[c.alias(k) for k, c in filled.items()], problem.alias("problem"))
+    return _once(_once(rows, [], {"doc": F.try_parse_json(F.col(source))}), [], {**filled, "problem": problem})
