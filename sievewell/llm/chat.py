@@ -42,11 +42,12 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def rendered(turns: Column) -> Column:
-    """Each turn between its marks; marks in a text are broken by a space, so that no text opens or closes a turn."""
+    """Each turn between its marks; marks in a role or text are broken by a space and line ends of a role become spaces, so that neither opens or closes a turn."""
 
     def one(t: Column) -> Column:
-        plain = F.regexp_replace(t["text"], r"<\|(im_start|im_end)\|>", "< |$1|>")
-        return F.concat(F.lit(OPEN), t["role"], F.lit("\n"), plain, F.lit(CLOSE), F.lit("\n"))
+        plain = lambda c: F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "< |$1|>")
+        role = F.regexp_replace(plain(t["role"]), r"[\r\n]", " ")
+        return F.concat(F.lit(OPEN), role, F.lit("\n"), plain(t["text"]), F.lit(CLOSE), F.lit("\n"))
 
     return F.array_join(F.transform(turns, one), "")
 
@@ -74,5 +75,5 @@ WITH c AS (
   SELECT turns, arg_min(conv_id, conv_id) AS conv_id FROM c GROUP BY turns
 )
 SELECT conv_id, len(turns)::BIGINT AS n_turns,
-  array_to_string(list_transform(turns, lambda t: '{OPEN}' || t.role || chr(10) || regexp_replace(t.text, '<\|(im_start|im_end)\|>', '< |\1|>', 'g') || '{CLOSE}' || chr(10)), '') AS text
+  array_to_string(list_transform(turns, lambda t: '{OPEN}' || regexp_replace(regexp_replace(t.role, '<\|(im_start|im_end)\|>', '< |\1|>', 'g'), '[\r\n]', ' ', 'g') || chr(10) || regexp_replace(t.text, '<\|(im_start|im_end)\|>', '< |\1|>', 'g') || '{CLOSE}' || chr(10)), '') AS text
 FROM f WHERE turns NOT IN (SELECT turns FROM p)"""
