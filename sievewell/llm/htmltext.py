@@ -5,7 +5,8 @@ of three states: OUT (nothing of it is main text), IN (main text) and MIXED (it
 parts of both). The tree is then decoded as a whole: below OUT everything is OUT, IN may hold IN
 and OUT, MIXED may hold any, and the states of highest total probability are chosen from
 the leaves up. So no node can contradict an ancestor. The trees learn from invented pages
-(`samplepages`) and see tags, attribute tokens, depth, text density and siblings.
+(`samplepages`), a third of them without any name or box around their text, and see tags, attribute tokens, depth,
+text density, siblings, and whether the page has a landmark that the node is outside of.
 
 Cases: null and empty html, and pages without main text, give an empty text; markup that is cut
 off is read as far as it goes; rows with equal ids are read one by one; null ids and urls are
@@ -186,7 +187,9 @@ def features(tree: Tree, vocabulary: dict[str, int]) -> np.ndarray:
         children[p] += 1
     kind = {t: j for j, t in enumerate(BLOCKS)}
     place, same, counts = np.zeros(n), np.zeros(n), {}
-    up = np.zeros((n, 4))  # an ancestor is: article or main; nav, aside, footer or header; form; one with a name of the vocabulary
+    up = np.zeros((n, 4))  # an ancestor is: article or main; nav, aside, footer or header; form; the node or an ancestor is: nav, aside, footer or form
+    some = float(any(t in ("article", "main") for t in tree.tag))
+    outside = np.zeros(n)  # the page has an article or main, and the node is in none
     for i in range(1, n):
         p, t = parent[i], tree.tag[i]
         depth[i] = depth[p] + 1
@@ -200,13 +203,16 @@ def features(tree: Tree, vocabulary: dict[str, int]) -> np.ndarray:
             up[i, 1] = 1
         elif a == "form":
             up[i, 2] = 1
+        if t in ("nav", "aside", "footer", "form"):
+            up[i, 3] = 1
+        outside[i] = some * (1 - up[i, 0]) * (t not in ("article", "main"))
     p = np.maximum(parent, 0)
     total, siblings = max(sub[0], 1.0), np.maximum(children[p], 1)
     others = (sub[p] - own[p] - sub) / np.maximum(siblings - 1, 1)
     tags = np.array([kind.get(t, 0) for t in tree.tag])
     numbers = [depth, np.log1p(own), np.log1p(sub), sublink / np.maximum(sub, 1), np.log1p(nodes), np.log1p(sub / nodes), 100 * submarks / np.maximum(sub, 1), siblings, place / siblings,
                np.array([counts.get((parent[i], tree.tag[i]), 1) for i in range(n)]) / siblings, np.log1p(np.maximum(others, 0)), sub / total, first / max(seen, 1.0), sublink[p] / np.maximum(sub[p], 1),
-               np.log1p(sub[p]), sub / np.maximum(sub[p], 1), children, own / np.maximum(sub, 1)]
+               np.log1p(sub[p]), sub / np.maximum(sub[p], 1), children, own / np.maximum(sub, 1), outside]
     width = len(NAMES) + len(vocabulary)
     out = np.zeros((n, len(numbers) + 4 + 2 * len(BLOCKS) + 2 * width), np.float32)
     for j, x in enumerate(numbers):
@@ -263,6 +269,8 @@ def labelled(seed: int) -> tuple[str, Tree, np.ndarray]:
     text = re.sub(r"([\x01\x02])<(\w+)", lambda m: f'<{m[2]} role="{"zzmain" if m[1] == chr(1) else "zzother"}"', "".join(out))
     tree = Tree(text)
     states = np.full(len(tree.tag), OUT)
+    if text.startswith('<html role="zzmain"'):
+        states[0] = IN
     for i in range(1, len(tree.tag)):
         names, above = tree.names[i], states[tree.parent[i]]
         states[i] = IN if "zzmain" in names else OUT if "zzother" in names else above
@@ -274,7 +282,7 @@ def labelled(seed: int) -> tuple[str, Tree, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def learned(pages: int = 360, words: int = 60) -> tuple[boost.Trees, dict[str, int]]:
+def learned(pages: int = 540, words: int = 60) -> tuple[boost.Trees, dict[str, int]]:
     """Boosted trees and attribute vocabulary, from invented pages. Made once a process; the same every time."""
     rows = [labelled(seed)[1:] for seed in range(pages)]
     counts: dict[str, int] = {}

@@ -26,6 +26,7 @@ class Page:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.plain = seed % 3 == 2
         self.parts = [["th", "er", "on", "an", "re"], ["ka", "lo", "mi", "su"], ["ein", "ch", "ver", "ung"], ["ção", "es", "ra", "do"]][seed % 4]
 
     def word(self) -> str:
@@ -122,8 +123,56 @@ class Page:
         inner = f"<h3>{self.words(1, 2)}</h3>" + (f"<ol>{inner}</ol>" if tag == "li" else inner)
         return f"<{(t := r.choice(['section', 'div', 'div']))}{self.named(kind, 1)}>{inner}</{t}>"
 
+    def loose(self) -> list[str]:
+        """Blocks of main text, each by itself."""
+        r, out = self.r, []
+        if r.random() < 0.5:
+            out.append(f"<h1>{self.words(1, 8).capitalize()}</h1>")
+        for _ in range(r.choice([1, 1, 2, 3, 5, 9])):
+            x = r.random()
+            if x < 0.12:
+                out.append(f"<h2>{self.words(1, 6).capitalize()}</h2>")
+            elif x < 0.17:
+                out.append("<ul>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            elif x < 0.25:
+                out.append(f"<{(t := r.choice(['pre', 'blockquote', 'center', 'div']))}>{self.prose()}</{t}>")
+            elif x < 0.30:
+                out.append(f"<table><tr><td>{self.prose()}</td></tr></table>")
+            else:
+                out.append(f"<p>{self.prose() if r.random() < 0.85 else self.words(1, 5) + '.'}</p>")
+        return out
+
+    def bare(self) -> str:
+        """A page in which nothing names the main text: words in no block, blocks in no box, or a box of no or an odd name."""
+        r, how = self.r, self.r.randrange(4)
+        odd = lambda: r.choice(["", f' class="{"".join(r.choices("bcdfghjklmnpqrstvwxz", k=6))}"'])
+        some = lambda kinds: [f"<div{odd()}>{self.links(r.randint(3, 9))}</div>" if r.random() < 0.3 else self.part(k) for k in kinds if r.random() < 0.3]
+        alone = r.random() < 0.4
+        before = [] if alone else some(("notice", "header", "nav", "ad", "form"))
+        after = [] if alone else some(("side", "ad", "comments", "form", "footer", "nav"))
+        head = f"<head><title>{self.words(2, 6)}</title></head>" if r.random() < 0.5 else ""
+        if how == 0:
+            lines = [self.prose() for _ in range(r.choice([1, 2, 3, 6]))] if r.random() < 0.85 else [self.words(1, 6)]
+            text = r.choice(["<br>", "<br><br>", "\n\n", " "]).join(lines)
+            if alone and r.random() < 0.6:
+                return f"{MAIN}<html>{head}{text}</html>{MAIN}"
+            first, last = ("".join(OTHER + x + OTHER for x in part) for part in (before, after))
+            return f"<html>{head}{MAIN}<body>{first}{text}{last}</body>{MAIN}</html>"
+        if how == 1:
+            main = "".join(MAIN + x + MAIN for x in self.loose())
+        else:
+            tag = r.choice(["div", "div", "section", "td"])
+            main = f"{MAIN}<{tag}{odd()}>{self.article() if r.random() < 0.6 else ''.join(self.loose())}</{tag}>{MAIN}"
+            main = f"<table><tr>{main}</tr></table>" if tag == "td" else main
+        for _ in range(r.choice([0, 0, 1, 2])):
+            main = f"<div{odd()}>{main}</div>"
+        body = "".join(before) + main + "".join(after)
+        return f"<html>{head}<body>{body}</body></html>" if r.random() < 0.7 else head + body
+
     def html(self) -> str:
-        """The page, with the main text between marks MAIN and insets in it between marks OTHER (see `unmarked`)."""
+        """The page, with the main text between marks MAIN and insets in it between marks OTHER (see `htmltext.labelled`)."""
+        if self.plain:
+            return self.bare()
         r = self.r
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         inner = self.article()
