@@ -249,7 +249,7 @@ def test_block_max_search_finds_what_brute_force_does():
         mine = sorted(index.vocabulary[w] for w in set(decontam.tokens(prose(r, 40))) if w in index.vocabulary)
         scores = defaultdict(float)
         for w in mine:
-            for i, x in zip(*index.postings[w][:2], strict=True):
+            for i, x in zip(*index.posting(w)[:2], strict=True):
                 scores[i] += x
         want = {i for i, s in scores.items() if s >= 0.3}
         assert {i for i, _ in decontam.search(index, mine, 0.3)} == want
@@ -267,6 +267,29 @@ def test_shards_find_the_same(spark):
         assert found[0].keys() == found[1].keys() and len(found[0]) >= 1
 
 
+def test_passes_lengths_null_and_repeated_ids_find_the_same(spark):
+    r = random.Random(12)
+    long = prose(r, 700) + ". " + prose(r, 100).capitalize() + "."
+    items = [(i, prose(r, 14 + i % 9) + ". " + prose(r, 6).capitalize() + ".") for i in range(60)] + [(None, prose(r, 30)), (3, prose(r, 30)), (2**53 + 1, prose(r, 30)), (70, long)]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string").withColumn("cls", F.lit("clash")).withColumn("words", F.lit(1))
+    docs = documents(spark, [(i, f"{prose(r, 60)} {t} {prose(r, 60)}", "en", "s") for i, (_, t) in enumerate(items)] + [(500 + k, prose(r, 300), "en", "s") for k in range(10)])
+    got = [sorted((x["doc_id"], x["item_id"] is None, x["item_id"], round(x["score"], 9)) for x in decontam.contaminated(docs, bench, pass_bytes=size).collect()) for size in (1, decontam.PASS_BYTES)]
+    assert got[0] == got[1] and {x[:3] for x in got[0]} == {(i, k is None, k) for i, (k, _) in enumerate(items)}
+    for size in (1, decontam.PASS_BYTES):
+        assert {x["doc_id"] for x in decontam.clean(docs, bench, pass_bytes=size).collect()} == {500 + k for k in range(10)}
+    halves = {ix.half for ix in decontam.indexes(bench)}
+    assert min(halves) == decontam.HALF and max(halves) == 800
+
+
+def test_an_index_is_small(spark):
+    r = random.Random(13)
+    texts = [(i, " ".join(f"w{r.randint(0, 30000)}" for _ in range(40))) for i in range(1100)]
+    df = Counter(w for _, t in texts for w in set(decontam.tokens(t)))
+    size = sum(len(t) for _, t in texts)
+    index = decontam.build(texts, df, len(texts), 40.0, 40)
+    assert len(index.packed()) < 12 * size and decontam.Index.unpacked(index.packed()).vocabulary == index.vocabulary
+
+
 def test_near_copies_and_items_without_their_last_sentence_are_leaks(spark):
     r = random.Random(21)
     items = [(i, prose(r, 6 + i) + ". " + prose(r, 2 + i % 7).capitalize() + ".") for i in range(30)]
