@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -134,16 +136,21 @@ class Index:
         x = self.impacts[self.start[word] : self.start[word + 1]].tolist()
         return self.items[self.start[word] : self.start[word + 1]].tolist(), x, max(x, default=0.0)
 
-    def bound(self, word: int) -> np.ndarray:
-        """A word's largest impact in each block."""
-        out, own = np.zeros(self.n_blocks, np.float32), slice(self.block_start[word], self.block_start[word + 1])
-        out[self.blocks[own]] = self.bounds[own]
+    def _entries(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many blocks each word has, and the places of these in `blocks`."""
+        sizes = self.block_start[words + 1] - self.block_start[words]
+        return sizes, np.repeat(self.block_start[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+    def bound(self, words: np.ndarray) -> np.ndarray:
+        """The largest impact of each word in each block."""
+        sizes, at = self._entries(words)
+        out = np.zeros((len(words), self.n_blocks), np.float32)
+        out[np.repeat(np.arange(len(words)), sizes), self.blocks[at]] = self.bounds[at]
         return out
 
     def sums(self, rows: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
         """The summed bounds (n, blocks) of the words of each row, given as pairs of row and word."""
-        sizes = self.block_start[words + 1] - self.block_start[words]
-        at = np.repeat(self.block_start[words] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        sizes, at = self._entries(words)
         return np.bincount(np.repeat(rows, sizes) * self.n_blocks + self.blocks[at], self.bounds[at], n * self.n_blocks).reshape(n, self.n_blocks)
 
 
@@ -188,8 +195,13 @@ def build(items: list[tuple[int | None, str]], df: dict[str, int], total: int, m
 
 def search(index: Index, words: list[int], threshold: float) -> list[tuple[int, float]]:
     """All items that score `threshold` or more for the distinct `words`, by block-max WAND."""
-    lists = [[*index.posting(w), 0, index.bound(w)] for w in words]  # items, impacts, largest, cursor, block bounds
     found, slack = [], 1e-6
+    rows = index.bound(np.array(words, np.int64))
+    open_ = np.flatnonzero(rows.sum(axis=0) >= threshold - 1e-3).tolist()  # blocks that all words together may match
+    if not open_:
+        return found
+    may = set(open_)
+    lists = [[*index.posting(w), 0, row] for w, row in zip(words, rows, strict=True)]  # items, impacts, largest, cursor, block bounds
     while True:
         lists = sorted((x for x in lists if x[3] < len(x[0])), key=lambda x: x[0][x[3]])
         total, pivot = 0.0, -1
@@ -204,6 +216,13 @@ def search(index: Index, words: list[int], threshold: float) -> list[tuple[int,
         while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][3]] == item:
             pivot += 1
         block = item // index.block
+        if block not in may:
+            after = bisect_left(open_, block)
+            if after == len(open_):
+                return found
+            for x in lists:
+                x[3] = bisect_left(x[0], open_[after] * index.block, x[3])
+            continue
         if sum(float(x[4][block]) for x in lists[: pivot + 1]) < threshold - slack:
             goal = (block + 1) * index.block  # no item of this block, unless a later list has one
             if pivot + 1 < len(lists):
@@ -216,15 +235,14 @@ def search(index: Index, words: list[int], threshold: float) -> list[tuple[int,
         else:
             goal = item
         for x in lists[: pivot + 1]:
-            while x[3] < len(x[0]) and x[0][x[3]] < goal:
-                x[3] += 1
+            x[3] = bisect_left(x[0], goal, x[3])
 
 
 def leaks(index: Index, words: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
     """Of each item that a text, given as words, repeats: score, question and answer overlap of its best passage."""
     if not words or not index.ids:
         return {}
-    known = np.fromiter((index.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    known = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
     at = np.flatnonzero(known >= 0)
     if not len(at):
         return {}
@@ -236,8 +254,6 @@ def leaks(index: Index, words: list[str], threshold: float = THRESHOLD, overlap:
         begin, end = i * index.half, (i + 2) * index.half
         mine = np.unique(known[begin:end])
         mine = mine[mine >= 0]
-        if index.sums(np.zeros(len(mine), np.int64), mine, 1).max() < least:  # words of both halves counted once
-            continue
         hits = search(index, mine.tolist(), threshold)
         have: dict[int, np.ndarray] = {}
         for item, score in hits:
