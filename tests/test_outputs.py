@@ -85,3 +85,22 @@ def test_answers_of_any_form_become_verdicts(spark):
 def test_a_vector_goes_to_python_once(spark):
     plan = outputs.scored(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [score(") <= 1 and "CartesianProduct" not in plan
+
+
+def test_echoes_leave_tasks_in_buckets_and_not_run_by_run(spark, monkeypatch):
+    """Many buckets, several tasks and texts over many slices give what a loop gives; a row for each run would be 4,000 or more."""
+    r = random.Random(5)
+    told = [" ".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(30)]
+    rows = [(i % 3, i, f"{' '.join(r.sample(told, 1))} w{i} {r.choice(told)[:30]}") for i in range(80)] + [(0, 90, None), (None, 91, told[0]), (1, None, told[0])]
+    df = spark.createDataFrame(rows, "k int, t int, text string").repartition(5)
+    monkeypatch.setattr(boundary, "_SHARE", 50)
+    got = {(x["k"], x["t"]): (x["copied"], x["first"]) for x in boundary.echoes(df, df, ["k"], "t").collect()}
+    want = {}
+    for k, t, text in rows:
+        if k is not None and t is not None:
+            heard = {x for k2, t2, text2 in rows if k2 == k and t2 is not None and t2 < t for x in runs(text2, 9)}
+            found = {i + 1 for i, x in enumerate(runs(text, 9)) if x in heard}
+            want |= {(k, t): (len(found), min(found))} if found else {}
+    assert got == want and len(want) > 30
+    packed = df.filter("k IS NOT NULL AND t IS NOT NULL").selectExpr("xxhash64(k) AS k", "cast(t AS long) AS at", "3 AS role", "text").mapInArrow(boundary._packer(9, 3), boundary._PACKED)
+    assert 0 < packed.count() <= 5 * 9
