@@ -114,3 +114,18 @@ def test_ledger_without_rows_and_with_a_bad_update(spark, tmp_path):
     assert book.counts().count() == 0
     put(spark.createDataFrame([(1, "g", "a", 2), (1, "g", "", 2), (2, "g", "b", 5), (2, "g", "b", -1)], schema), 1)
     assert [tuple(r) for r in book.counts().collect()] == [("g", "b", 4)]
+
+
+def test_trailing_holds_one_timer_and_one_value_of_sums_a_key(spark, tmp_path):
+    """Facts in many slots of few keys: state is a row for each slot's facts, and for each key its sums and a timer; then all of it goes."""
+    rows = [(i, i % 2, "c", 1_700_000_000 + 3600 * (i // 2), i % 5 - 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, group_id int, counter_id string, t long, delta int").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    far = df.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1_800_000_000))).withColumn("group_id", F.lit(9))
+    for part in (df, far):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        progress = keyed.run_available(keyed.trailing(stream, 7 * 86400), keyed.numbered_sink(out=(f"{tmp_path}/out", "true")), f"{tmp_path}/state")
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+        assert held[0] <= 200 + 2 * 4 + 4 and held[-1] <= (212 if part is df else 8)
+    got = {r["event_id"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").filter("group_id <> 9").collect()}
+    assert got == {i: sum(e for _, h, _, u, e in rows if h == g and t - 7 * 86400 <= u <= t) for i, g, _, t, _ in rows}
