@@ -14,16 +14,22 @@ INSTRUCTION = "Judge only what is given.\nAnswer as JSON.\n"
 _TWO = packs.CONTEXTS[:2]
 
 
-def jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named(rows: DataFrame, key: str, wanted: DataFrame | None) -> DataFrame:
+    """The rows that are to be opened; a key is wanted before its pack is parsed, not after."""
+    return rows if wanted is None else rows.join(wanted, rows[key] == wanted[wanted.columns[0]], "left_semi")
+
+
+def jurisdictions(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Jurisdictions of all nations, or of those whose keys are the column of `wanted`."""
     k, number = F.col("n_nationkey"), lambda x: x.cast("int")
     over = F.transform(F.sequence(F.lit(0), number(k % 4)), lambda i: F.struct((i * 7 + k).cast("int").alias("category"), F.when(k % 3 != 0, number((k + i) % 6)).alias("severity_floor")))
     contexts = F.transform(F.sequence(F.lit(1), number(k % 6 + 1)), lambda i: F.concat(F.col("n_name"), F.lit("_CONTEXT_"), (i % 4).cast("string")))
     doc = F.to_json(F.struct(F.concat(F.lit("jurisdiction."), k.cast("string")).alias("skill_id"), F.when(k % 5 != 0, over).alias("overrides"), F.when(k % 7 != 0, contexts).alias("allowed_contexts")))
-    return openpacks.opened(table(spark, sf_dir, "nation").select(k.alias("id"), doc.alias("text")), manifest.FIELDS, ("skill_id",))
+    return openpacks.opened(_named(table(spark, sf_dir, "nation"), "n_nationkey", wanted).select(k.alias("id"), doc.alias("text")), manifest.FIELDS, ("skill_id",))
 
 
-def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities with up to 260 rules, so that some are beyond the budget."""
+def communities(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Communities with up to 260 rules, so that some are beyond the budget; of all suppliers, or of those whose keys are the column of `wanted`."""
     k, number = F.col("s_suppkey"), lambda x: x.cast("int")
     rule = lambda i: F.struct(((i + k) % 18).cast("int").alias("category"), F.when(i % 3 != 0, F.lit("strong_warn")).alias("action"), F.when(i % 2 == 0, F.lit(True)).alias("suggest_redact"), F.when(i % 5 == 0, F.lit(False)).alias("suggest_mute"))
     rules = F.filter(F.transform(F.sequence(F.lit(0), number(k * 13 % 260)), rule), lambda r: r.isNotNull())
@@ -33,28 +39,45 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.to_json(F.struct(
         F.concat(F.lit("community."), k.cast("string")).alias("skill_id"), F.struct(F.when(k % 3 == 0, F.lit("minor_present")).alias("age_mode")).alias("community_profile"),
         F.when(k % 6 != 0, rules).alias("rules"), F.when(k % 4 != 0, counters).alias("group_risk_counters"), F.when(k % 2 == 0, F.array(F.lit("NEWS_CONTEXT"), F.lit("OWN_CONTEXT"))).alias("allowed_contexts")))
-    return openpacks.opened(table(spark, sf_dir, "supplier").select(k.alias("id"), doc.alias("text")), manifest.FIELDS, ("skill_id",))
+    return openpacks.opened(_named(table(spark, sf_dir, "supplier"), "s_suppkey", wanted).select(k.alias("id"), doc.alias("text")), manifest.FIELDS, ("skill_id",))
 
 
-def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").select(k.alias("bundle"), F.when(k % 9 != 0, F.col("c_nationkey")).alias("_j"), F.when(k % 8 != 0, k % 13).alias("_c"))
+    return table(spark, sf_dir, "customer").select(k.alias("bundle"), F.when(k % 9 != 0, F.col("c_nationkey")).alias("_j"), F.when(k % 8 != 0, k % 13).alias("_c"))
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each pair of packs that some customer has, its `bundle`. Packs no customer has are not opened."""
+    pairs = _customers(spark, sf_dir).select("_j", "_c").distinct()
+    key = lambda c: pairs.select(c).filter(F.col(c).isNotNull()).distinct()
     as_struct = lambda df, key, name: df.select(F.col("id").alias(key), F.struct(*manifest.FIELDS).alias(name))
-    return c.join(as_struct(jurisdictions(spark, sf_dir), "_j", "jurisdiction"), "_j", "left").join(as_struct(communities(spark, sf_dir), "_c", "community"), "_c", "left").select("bundle", "jurisdiction", "community")
+    packed = pairs.join(as_struct(jurisdictions(spark, sf_dir, key("_j")), "_j", "jurisdiction"), "_j", "left").join(as_struct(communities(spark, sf_dir, key("_c")), "_c", "community"), "_c", "left")
+    return manifest.compiled(packed.select(F.struct("_j", "_c").alias("bundle"), "jurisdiction", "community"), INSTRUCTION, _TWO)
+
+
+def _to_customers(spark: SparkSession, sf_dir: str, rows: DataFrame, pair: str, name: str) -> DataFrame:
+    """Rows of a pair of packs as rows of each customer that has it."""
+    of, at = _customers(spark, sf_dir), F.col(pair)
+    both = rows.withColumns({"_pj": at["_j"], "_pc": at["_c"]}).drop(pair)
+    joined = of.withColumnRenamed("bundle", name).join(both, F.col("_j").eqNullSafe(F.col("_pj")) & F.col("_c").eqNullSafe(F.col("_pc")))
+    return joined.drop("_j", "_c", "_pj", "_pc")
 
 
 def _compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.compiled(_bundles(spark, sf_dir), INSTRUCTION, _TWO)
+    made = _manifests(spark, sf_dir).select("bundle", F.md5("text").alias("text_md5"), "tokens", "problem")
+    return _to_customers(spark, sf_dir, made, "bundle", "bundle").select("bundle", "text_md5", "tokens", "problem")
 
 
 def _read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compiled manifests cut at their marks again."""
-    texts = _compiled(spark, sf_dir).filter("text IS NOT NULL").select(F.col("bundle").alias("manifest"), "text")
-    return packs.sections(texts).filter("section IN ('JURISDICTION_OVERLAY', 'COMMUNITY_OVERLAY')").select("manifest", "section", F.md5("text").alias("text_md5"))
+    texts = _manifests(spark, sf_dir).filter("text IS NOT NULL").select(F.col("bundle").alias("manifest"), "text")
+    cut = packs.sections(texts).filter("section IN ('JURISDICTION_OVERLAY', 'COMMUNITY_OVERLAY')").select("manifest", "section", F.md5("text").alias("text_md5"))
+    return _to_customers(spark, sf_dir, cut, "manifest", "manifest").select("manifest", "section", "text_md5")
 
 
 QUERIES = {
-    "manifest_compile": lambda s, d: _compiled(s, d).select("bundle", F.md5("text").alias("text_md5"), "tokens", "problem"),
+    "manifest_compile": _compiled,
     "manifest_read_back": _read_back,
     "community_counters": lambda s, d: manifest.community_counters(communities(s, d)),
 }

@@ -73,3 +73,16 @@ def test_a_manifest_without_overlays_reads_back(spark):
     df = compiled(spark, "[]", None)
     got = {r["section"]: r["text"] for r in packs.sections(df.select(F.col("bundle").alias("manifest"), "text")).collect()}
     assert got == {"INSTRUCTION": "Judge.", "GLOBAL_BASELINE": manifest.BASELINE, "JURISDICTION_OVERLAY": "", "COMMUNITY_OVERLAY": "", "INPUT": manifest.INPUT, "OUTPUT": manifest.OUTPUT}
+
+
+def test_each_pair_of_packs_is_compiled_once_whatever_the_customers(spark, monkeypatch):
+    from sievewell.plans import manifests
+    from sievewell.sources import openpacks
+
+    made, opened, compile_, open_ = [], [], manifest.compiled, openpacks.opened
+    monkeypatch.setattr(manifest, "compiled", lambda b, *a, **k: made.append(b) or compile_(b, *a, **k))
+    monkeypatch.setattr(openpacks, "opened", lambda d, *a, **k: opened.append(d) or open_(d, *a, **k))
+    sf = "/root/testdata/sf0.01"
+    customers, suppliers = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("customer", "supplier"))
+    assert manifests.QUERIES["manifest_compile"](spark, sf).count() == customers > 1_000
+    assert made[0].count() <= 26 * 14 and opened[1].count() == 13 < suppliers
