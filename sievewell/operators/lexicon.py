@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: So many tokens become literals of the plan; more are searched by an index, which is broadcast up to a number of tokens.
 LITERAL_TOKENS, GRAM, MOST_BROADCAST, SALTS = 200, 4, 500_000, 16
@@ -36,16 +40,46 @@ def lexicon_hits(text: Column, lexicons: Sequence[Lexicon]) -> Column:
     return F.filter(F.array(*entries), lambda h: h.isNotNull()) if entries else empty
 
 
-def _grams(text: Column, lengths: Sequence[int]) -> Column:
+def _small(texts: pa.Array, limit: int = 4 << 20) -> Iterator[list[str | None]]:
+    """Texts a part of about `limit` bytes at a time; a longer one is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    place = (np.cumsum(sizes) - sizes) // limit
+    for x in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(place)) + 1):
+        if len(x):
+            yield texts.slice(x[0], len(x)).to_pylist()
+
+
+def _grams(text: str, lengths: Sequence[int]) -> set[str]:
     """The distinct runs of characters of the given lengths in a text."""
+    return {text[i : i + q] for q in lengths for i in range(len(text) - q + 1)}
+
+
+def _grams_of(lengths: Sequence[int]):
+    @F.arrow_udf("array<string>")
+    def grams(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([list(_grams(t, lengths)) if t else [] for t in part], pa.list_(pa.string())) for part in _small(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
+
+    return grams
+
+
+def _found_by(index: dict[str, list[tuple[str, int]]], lengths: Sequence[int]):
+    """The numbers of the lexicons found in each text: its distinct grams that the index has, and of these the tokens that it holds."""
 
-    def runs(chars: Column) -> Column:
-        def of(q: int) -> Column:
-            return F.filter(F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, F.lit(q)), "")), lambda g: F.length(g) == q)
+    @F.arrow_udf("array<int>")
+    def found(texts: pa.Array) -> pa.Array:
+        def one(t: str | None) -> list[int]:
+            out: set[int] = set()
+            for g in _grams(t, lengths) & index.keys() if t else ():
+                for token, number in index[g]:
+                    if number not in out and token in t:
+                        out.add(number)
+            return list(out)
 
-        return F.array_distinct(F.flatten(F.array(*[of(q) for q in lengths])))
+        parts = [pa.array([one(t) for t in part], pa.list_(pa.int32())) for part in _small(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    return F.transform(F.array(F.split(text, "")), runs)[0]  # the text is split once
+    return found
 
 
 def token_table(spark, lexicons: Sequence[Lexicon]) -> DataFrame:
@@ -66,9 +100,9 @@ def indexed(tokens: DataFrame, q: int = GRAM) -> DataFrame:
 def lexicon_search(messages: DataFrame, tokens: DataFrame, id_col: str = "msg_id", text_col: str = "norm", q: int = GRAM, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(id, lexicon_id, category, weight, position) of the lexicons found in normalized texts, for token tables of any size.
 
-    Each token is filed under its rarest q-gram, and the distinct q-grams of a text, each once, are joined to these
+    Each token is filed under its rarest q-gram, and the distinct q-grams of a text, each once, are held against these
     by equality; only where they meet is the text searched for the whole token. Up to `most_broadcast` tokens the
-    index goes to the texts, which are read once and not shuffled. Beyond, grams and index meet by gram and one of
+    index goes to the tasks as a dictionary, texts are read once where they are and only numbers of lexicons leave them. Beyond, grams and index meet by gram and one of
     SALTS salts, so that no gram is one task's, without the texts; these are joined again by id, of which every text has its own.
 
     Null and empty texts and empty tokens give no rows; a lexicon is found once in a text. Rows with equal ids are one text
@@ -79,10 +113,17 @@ def lexicon_search(messages: DataFrame, tokens: DataFrame, id_col: str = "msg_id
     if not lengths:
         return messages.select(id_col).crossJoin(tokens.limit(0)).select(*found)
     texts = messages.select(id_col, text_col).filter(F.length(text_col) > 0)
-    grams = texts.select(id_col, text_col, F.explode(_grams(F.col(text_col), lengths)).alias("gram"))
     if index.limit(most_broadcast + 1).count() <= most_broadcast:
-        hits = grams.join(F.broadcast(index), "gram").filter(F.contains(F.col(text_col), F.col("token")))
+        rows = index.select("gram", "token", *found[1:]).collect()  # most_broadcast at most
+        kinds = list(dict.fromkeys(tuple(r)[2:] for r in rows))
+        number = {k: i for i, k in enumerate(kinds)}
+        held: dict[str, list[tuple[str, int]]] = {}
+        for r in rows:
+            held.setdefault(r["gram"], []).append((r["token"], number[tuple(r)[2:]]))
+        named = messages.sparkSession.createDataFrame([(i, *k) for i, k in enumerate(kinds)], StructType([StructField("_n", IntegerType()), *[index.schema[c] for c in found[1:]]]))
+        hits = texts.select(id_col, F.explode(_found_by(held, lengths)(F.col(text_col))).alias("_n")).join(F.broadcast(named), "_n")
     else:
+        grams = texts.select(id_col, F.explode(_grams_of(lengths)(F.col(text_col))).alias("gram"))
         salted = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = grams.select(id_col, "gram", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("_salt")).join(salted, ["gram", "_salt"])
         hits = met.join(texts, id_col).filter(F.contains(F.col(text_col), F.col("token")))

@@ -52,3 +52,11 @@ def test_no_tokens_and_no_texts(spark):
     assert lexicon.lexicon_join(messages, []).count() == 0
     assert lexicon.lexicon_search(messages, spark.createDataFrame([], SCHEMA)).count() == 0
     assert lexicon.lexicon_search(messages.limit(0), spark.createDataFrame([(1, "a", 1, 0.5, "abc")], SCHEMA)).count() == 0
+
+
+def test_texts_stay_in_their_tasks_and_are_not_copied_by_gram(spark):
+    """A small index goes to the texts: what leaves a text is one row a lexicon found, and not one a gram."""
+    tokens, texts = made(500, 20, 4)
+    messages = spark.createDataFrame(texts, "msg_id long, norm string")
+    plan = lexicon.lexicon_search(messages, spark.createDataFrame(tokens, SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "gram" not in plan and "found" in plan
