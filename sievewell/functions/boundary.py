@@ -31,8 +31,12 @@ def runs(text: Column, most: int = MOST_COPIED) -> Column:
 
 
 def copies(output: Column, source: Column, most: int = MOST_COPIED) -> Column:
-    """Whether an output has a run of more than `most` words of the row's own source."""
-    return F.arrays_overlap(runs(output, most), runs(source, most))
+    """Whether an output has a run of more than `most` words of the row's own source.
+
+    The source is closed up to single spaces and searched for the output's runs; without these, as for most short outputs, it is not looked at."""
+    closed = F.concat(F.lit(" "), F.regexp_replace(F.coalesce(source, F.lit("")), r"[\x09-\x0D\x20]+", " "), F.lit(" "))
+    there = lambda said: _let(closed, lambda s: F.exists(said, lambda run: F.contains(s, F.concat(F.lit(" "), run, F.lit(" ")))))
+    return _let(runs(output, most), lambda said: F.when(F.size(said) > 0, there(said)).otherwise(F.lit(False)))
 
 
 _HEARD, _SAID, _SHARE = 1, 2, 500_000  # roles of a row; runs a bucket shall hold

@@ -104,3 +104,10 @@ def test_echoes_leave_tasks_in_buckets_and_not_run_by_run(spark, monkeypatch):
     assert got == want and len(want) > 30
     packed = df.filter("k IS NOT NULL AND t IS NOT NULL").selectExpr("xxhash64(k) AS k", "cast(t AS long) AS at", "3 AS role", "text").mapInArrow(boundary._packer(9, 3), boundary._PACKED)
     assert 0 < packed.count() <= 5 * 9
+
+
+def test_short_outputs_do_not_take_their_source_apart(spark):
+    """A run is looked for in the closed-up source; only the output is cut into runs."""
+    df = spark.createDataFrame([("a b c", " x\ta  b c\n"), ("a b c", "xa b c"), ("a b c", "a b cx"), ("a b", "a b"), ("q a b c", "a b c"), ("b c d e", "a b c d e f")], "o string, s string")
+    assert [x[0] for x in df.select(boundary.copies(F.col("o"), F.col("s"), most=2)).collect()] == [True, False, False, False, True, True]
+    assert "arrays_overlap" not in df.select(boundary.copies(F.col("o"), F.col("s")))._jdf.queryExecution().analyzed().toString()
