@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -31,6 +31,16 @@ def homoglyph_fold(text: Column, table: tuple[str, str] = HOMOGLYPHS) -> Column:
     return F.when(text.rlike(r"[^\x00-\x{24F}]"), folded).otherwise(text) if min(map(ord, table[0])) > 0x24F else folded
 
 
+def small_batches(rows: int = 1000, size: int = 4 << 20) -> None:
+    """Keeps what a task hands to Python at a time to `rows` rows and about `size` bytes, whatever the table, as texts can be long.
+
+    These are settings of the session, read when a result is computed, and so they stay set; smaller ones are left as they are."""
+    conf = SparkSession.active().conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(str(conf.get(key)).rstrip("bB")) <= most:
+            conf.set(key, str(most))
+
+
 @F.pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
@@ -43,6 +53,7 @@ def _unaccented(text: pd.Series) -> pd.Series:
 
 def _beyond_ascii(text: Column, of, plain: Column) -> Column:
     """`of(text)` for texts with a character beyond ASCII, which alone leave the JVM; `plain` for the others."""
+    small_batches()
     wide = text.rlike(r"[^\x00-\x7F]")
     return F.when(wide, of(F.when(wide, text))).otherwise(plain)
 

@@ -111,3 +111,11 @@ def test_short_outputs_do_not_take_their_source_apart(spark):
     df = spark.createDataFrame([("a b c", " x\ta  b c\n"), ("a b c", "xa b c"), ("a b c", "a b cx"), ("a b", "a b"), ("q a b c", "a b c"), ("b c d e", "a b c d e f")], "o string, s string")
     assert [x[0] for x in df.select(boundary.copies(F.col("o"), F.col("s"), most=2)).collect()] == [True, False, False, False, True, True]
     assert "arrays_overlap" not in df.select(boundary.copies(F.col("o"), F.col("s")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_python_gets_small_batches_of_texts(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    for k in keys:
+        spark.conf.unset(k)
+    signals(spark)
+    assert 0 < int(spark.conf.get(keys[0])) <= 1000 and 0 < int(spark.conf.get(keys[1])) <= 4 << 20
